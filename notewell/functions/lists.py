@@ -20,9 +20,13 @@ def merge_unique(first: Column, second: Column) -> Column:
 
 def dedup_ci(values: Column) -> Column:
     """Keep the first spelling of entries that differ only in case."""
-    clean = trimmed(values)
-    lowered = F.transform(clean, lambda v: F.lower(v))
-    return F.filter(clean, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
+    def keep_first(clean: Column) -> Column:
+        lowered = F.transform(clean, lambda v: F.lower(v))
+        return F.element_at(
+            F.transform(F.array(lowered), lambda low: F.filter(clean, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)), 1
+        )
+
+    return F.element_at(F.transform(F.array(trimmed(values)), keep_first), 1)
 
 
 def append_unique(values: Column, value: Column | str, condition: Column) -> Column:

@@ -11,6 +11,7 @@ import re
 import sys
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -33,6 +34,63 @@ def reaches(a: str, b: str, cutoff: float, strict: bool = False) -> float | None
     return value
 
 
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, with one bit per character of ``a``."""
+    where: dict[str, int] = {}
+    for n, c in enumerate(a):
+        where[c] = where.get(c, 0) | (1 << n)
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & where.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - bin(row).count("1")
+
+
+class SeenSentences:
+    """Earlier sentences of one text, with cheap upper bounds of the similarity ratio.
+
+    The ratio is 2*M/(la+lb) where M is at most the number of shared characters, and at
+    most the longest common subsequence; only pairs that both bounds leave open are compared.
+    """
+
+    def __init__(self, text: str, cutoff: float) -> None:
+        self.column = {c: n for n, c in enumerate(sorted(set(text)))}
+        self.cutoff = cutoff
+        self.exact: set[str] = set()
+        self.items: list[str] = []
+        self.counts = np.zeros((16, len(self.column)), dtype=np.int32)
+
+    def vector(self, sentence: str) -> np.ndarray:
+        out = np.zeros(len(self.column), dtype=np.int32)
+        for c in sentence:
+            out[self.column[c]] += 1
+        return out
+
+    def repeats(self, sentence: str) -> bool:
+        if sentence in self.exact:
+            return True
+        n = len(self.items)
+        row = self.vector(sentence)
+        if n:
+            known = self.counts[:n]
+            total = known.sum(axis=1) + len(sentence)
+            shared = np.minimum(known, row).sum(axis=1)
+            for i in np.nonzero(2.0 * shared / total > self.cutoff)[0]:
+                old = self.items[i]
+                size = len(old) + len(sentence)
+                if 2.0 * common_subsequence(old, sentence) / size <= self.cutoff:
+                    continue
+                if SequenceMatcher(None, old, sentence).ratio() > self.cutoff:
+                    return True
+        if n == len(self.counts):
+            self.counts = np.vstack([self.counts, np.zeros_like(self.counts)])
+        self.counts[n] = row
+        self.items.append(sentence)
+        self.exact.add(sentence)
+        return False
+
+
 def drop_repeated_sentences(
     text: str | None,
     min_words: int = SENTENCE_MIN_WORDS,
@@ -42,19 +100,16 @@ def drop_repeated_sentences(
     if not text:
         return text, 0
     kept: list[str] = []
-    seen: dict[str, None] = {}
+    pairs = [(part.strip(), re.sub(r"\s+", " ", part.strip().lower())) for part in re.split(split, text)]
+    seen = SeenSentences("".join(folded for _, folded in pairs), cutoff)
     removed = 0
-    for sentence in (part.strip() for part in re.split(split, text)):
+    for sentence, folded in pairs:
         if not sentence:
             continue
-        folded = re.sub(r"\s+", " ", sentence.lower())
-        if len(folded.split()) < min_words:
+        if len(folded.split()) < min_words or not seen.repeats(folded):
             kept.append(sentence)
-        elif folded in seen or any(reaches(old, folded, cutoff, strict=True) for old in seen):
-            removed += 1
         else:
-            seen[folded] = None
-            kept.append(sentence)
+            removed += 1
     out = ". ".join(kept)
     return (out + "." if out and not out.endswith(".") else out), removed
 

@@ -112,14 +112,22 @@ def tag_by_lexicon(df: DataFrame, text: str, pack: RulePack, out: str = "tags")
 def phrases(text: Column, max_words: int) -> Column:
     """Distinct runs of 1..max_words words of the lower-cased text, separators kept."""
     pieces = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))
-    runs = [
-        F.transform(pieces, lambda p, i, w=w: F.when(
-            p.rlike(r"^[\p{L}\p{N}]") & (i + 2 * w - 1 <= F.size(pieces)),
-            F.array_join(F.slice(pieces, i + 1, 2 * w - 1), ""),
-        ))
-        for w in range(1, max_words + 1)
-    ]
-    return F.array_distinct(F.array_compact(F.concat(*runs)))
+
+    def runs(words: Column, width: int) -> Column:
+        span = 2 * width - 1
+        return F.transform(
+            words,
+            lambda p, i: F.when(
+                p.rlike(r"^[\p{L}\p{N}]") & (i + span <= F.size(words)), F.array_join(F.slice(words, i + 1, span), "")
+            ),
+        )
+
+    # the one-element outer array binds the pieces once per row instead of once per phrase
+    per_row = F.transform(
+        F.array(pieces),
+        lambda words: F.array_distinct(F.array_compact(F.concat(*[runs(words, w) for w in range(1, max_words + 1)]))),
+    )
+    return F.element_at(per_row, 1)
 
 
 def tag_by_lexicon_table(df: DataFrame, lexicon: DataFrame, id_col: str, text: str, max_words: int = 3) -> DataFrame:

@@ -14,15 +14,14 @@ def candidate_terms(df: DataFrame, text: str, max_words: int = 3, min_count: int
     the mean tf * idf over the term's documents.
     """
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    grams = F.concat(
-        *[
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size("__w") - n + 1, F.lit(1))),
-                lambda i, n=n: F.when(i + n - 1 <= F.size("__w"), F.array_join(F.slice("__w", i, n), " ")),
-            )
-            for n in range(1, max_words + 1)
-        ]
-    )
+
+    def runs(n: int):
+        starts = F.sequence(F.lit(1), F.greatest(F.size("__w") - n + 1, F.lit(1)))
+        return F.transform(
+            starts, lambda i: F.when(i + n - 1 <= F.size("__w"), F.array_join(F.slice("__w", i, F.lit(n)), " "))
+        )
+
+    grams = F.concat(*[runs(n) for n in range(1, max_words + 1)])
     listed = (
         df.select(words.alias("__w"))
         .select(F.size("__w").alias("__len"), F.array_compact(grams).alias("__g"))
