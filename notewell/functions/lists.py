@@ -22,11 +22,9 @@ def dedup_ci(values: Column) -> Column:
     """Keep the first spelling of entries that differ only in case."""
     def keep_first(clean: Column) -> Column:
         lowered = F.transform(clean, lambda v: F.lower(v))
-        return F.element_at(
-            F.transform(F.array(lowered), lambda low: F.filter(clean, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)), 1
-        )
+        return m.let(lowered, lambda low: F.filter(clean, lambda v, i: F.array_position(low, F.lower(v)) == i + 1))
 
-    return F.element_at(F.transform(F.array(trimmed(values)), keep_first), 1)
+    return m.let(trimmed(values), keep_first)
 
 
 def append_unique(values: Column, value: Column | str, condition: Column) -> Column:

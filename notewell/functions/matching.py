@@ -97,3 +97,12 @@ def word_count(text: Column) -> Column:
     """Number of white-space separated words."""
     trimmed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, " ")))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row.
+
+    Optimizer rules may inline an expression wherever it is referenced; binding it to a
+    lambda variable keeps long chains of rewrites linear.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -35,18 +35,28 @@ def mask_pii(text: Column, brands: Sequence[str] = ()) -> Column:
 
 def pii_counts(text: Column, brands: Sequence[str] = ()) -> Column:
     """map(name -> hits), each rule counted on the text left by the rules before it."""
-    pairs = []
-    for name, mask, regex in mask_rules(brands):
-        pairs += [F.lit(name), F.regexp_count(text, F.lit(regex))]
-        text = F.regexp_replace(text, regex, mask)
-    return F.map_filter(F.create_map(*pairs), lambda _, hits: hits > 0)
+    rules = mask_rules(brands)
+    state = F.struct(text.alias("t"), F.array().cast("array<int>").alias("n"))
+    for _, mask, regex in rules:
+        state = m.let(state, _counter(mask, regex))
+    counts = F.map_from_arrays(F.array(*[F.lit(name) for name, _, _ in rules]), state["n"])
+    return F.map_filter(counts, lambda _, hits: hits > 0)
+
+
+def _counter(mask: str, regex: str):
+    return lambda state: F.struct(
+        F.regexp_replace(state["t"], regex, mask).alias("t"),
+        F.concat(state["n"], F.array(F.regexp_count(state["t"], F.lit(regex)))).alias("n"),
+    )
 
 
 def pii_audit(text: Column, brands: Sequence[str] = ()) -> Column:
     """struct(by_type, total, risk): HIGH above 5 hits, MEDIUM above 0, else LOW."""
-    counts = pii_counts(text, brands)
-    total = F.aggregate(F.map_values(counts), F.lit(0), lambda acc, v: acc + v)
-    return F.struct(counts.alias("by_type"), total.alias("total"), risk_level(total).alias("risk"))
+    def audit(counts: Column) -> Column:
+        total = F.aggregate(F.map_values(counts), F.lit(0), lambda acc, v: acc + v)
+        return F.struct(counts.alias("by_type"), total.alias("total"), risk_level(total).alias("risk"))
+
+    return m.let(pii_counts(text, brands), audit)
 
 
 def risk_level(total: Column) -> Column:

@@ -98,7 +98,8 @@ def nuance_pattern(nuance: str, terms: Sequence[str], window: int = fv.NUANCE_WI
     """The nuance, unless a business term lies within ``window`` characters on either side."""
     before = "|".join(f"{quote(t)}.{{0,{max(0, window - len(t))}}}" for t in terms)
     after = "|".join(f".{{0,{max(0, window - len(t))}}}{quote(t)}" for t in terms)
-    return rf"(?iUs)(?<!(?:{before}))\b{quote(nuance)}\b(?!(?:{after}))"
+    # the literal comes first, so the look-behind runs only where the nuance occurs
+    return rf"(?iUs)\b{quote(nuance)}\b(?<!(?:{before}){quote(nuance)})(?!(?:{after}))"
 
 
 def strip_nuances(text: Column, lang: Column) -> Column:

@@ -122,12 +122,9 @@ def phrases(text: Column, max_words: int) -> Column:
             ),
         )
 
-    # the one-element outer array binds the pieces once per row instead of once per phrase
-    per_row = F.transform(
-        F.array(pieces),
-        lambda words: F.array_distinct(F.array_compact(F.concat(*[runs(words, w) for w in range(1, max_words + 1)]))),
+    return m.let(
+        pieces, lambda words: F.array_distinct(F.array_compact(F.concat(*[runs(words, w) for w in range(1, max_words + 1)])))
     )
-    return F.element_at(per_row, 1)
 
 
 def tag_by_lexicon_table(df: DataFrame, lexicon: DataFrame, id_col: str, text: str, max_words: int = 3) -> DataFrame:
