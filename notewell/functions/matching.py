@@ -18,8 +18,31 @@ def alternation(patterns: Iterable[str], flags: str = FLAGS) -> str:
     return flags + "|".join(f"(?:{p})" for p in patterns)
 
 
+def fold(pattern: str) -> str:
+    """The pattern for lower-cased text: letters outside escapes become lower case."""
+    out, i = [], 0
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            end = pattern.find("}", i) + 1 if pattern[i + 1 : i + 3] in ("p{", "P{") else i + 2
+            out.append(pattern[i:end])
+            i = end
+        else:
+            out.append(pattern[i].lower())
+            i += 1
+    return "".join(out)
+
+
 def any_match(text: Column, patterns: Iterable[str], flags: str = FLAGS) -> Column:
-    return F.coalesce(text.rlike(alternation(patterns, flags)), F.lit(False))
+    """True when any pattern matches.
+
+    Case-insensitive matching compares every character in both cases; lower-casing the text
+    once and matching folded patterns finds the same and is several times faster.
+    """
+    if flags == FLAGS:
+        found = F.lower(text).rlike(alternation([fold(p) for p in patterns], "(?U)"))
+    else:
+        found = text.rlike(alternation(patterns, flags))
+    return F.coalesce(found, F.lit(False))
 
 
 def any_word(lowered: Column, words: Iterable[str]) -> Column:

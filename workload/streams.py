@@ -1 +1,97 @@
-"""Placeholder."""
+"""Streams over the driver's tables, run to completion into file tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from notewell.sources import readers
+from notewell.session import shared_folder
+from notewell.streaming import streams
+from workload.records import PACK
+from workload.registry import query
+
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+_K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
+_STEP = "CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'routing' WHEN 'view' THEN 'cleaning' WHEN 'signup' THEN 'done' ELSE 'extraction' END"
+
+
+def _events(spark, sf):
+    """Step events as a stream of the events table."""
+    e = streams.note_stream(spark, sf, EVENTS, pattern="events.parquet")
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("int")
+    step = F.when(kind == "error", "error").when(kind == "click", "routing").when(kind == "view", "rgpd").when(kind == "signup", "done").otherwise("tier2_extraction")
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", step.alias("step"), "value", (k % 3 + 1).alias("tier"), (k % 10).alias("task_id"), (k % 4).cast("string").alias("profile"), k.alias("k"))
+
+
+@query("stream_step_metrics", f"""
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, {_STEP} AS step, CAST({_K} % 4 AS VARCHAR) AS profile, count(*) AS events, round(avg(value), 6) AS avg_value FROM events GROUP BY 1, 2, 3""")
+def stream_step_metrics(spark, sf):
+    out = streams.run_available(streams.step_metrics(_events(spark, sf)), "step-metrics", "complete")
+    return out.select(F.to_date("window_start").cast("string").alias("day"), "step", "profile", "events", F.round("avg_value", 6).alias("avg_value"))
+
+
+@query("stream_alerts", f"""
+SELECT event_id, {_STEP} AS step, CASE WHEN event_type = 'error' THEN 'critical' WHEN event_type = 'click' AND {_K} % 3 = 2 THEN 'warning' WHEN event_type = 'view' AND {_K} > 90 THEN 'warning' ELSE 'info' END AS severity FROM events""")
+def stream_alerts(spark, sf):
+    events = _events(spark, sf).withColumn("contains_sensitive", F.col("k") > 90)
+    return streams.run_available(streams.alert_stream(events), "alerts").select("event_id", "step", "severity")
+
+
+@query("stream_newest_alerts", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 30")
+def stream_newest_alerts(spark, sf):
+    alerts = streams.run_available(streams.alert_stream(_events(spark, sf)), "alerts-newest")
+    return streams.newest_alerts(alerts).select("event_id")
+
+
+@query("stream_progress", f"""
+SELECT {_K} % 10 AS task_id, count_if(event_type = 'signup') AS processed, count_if(event_type = 'error') AS failed, count(*) AS events, arg_max({_STEP}, ts) AS status FROM events GROUP BY 1""")
+def stream_progress(spark, sf):
+    return streams.run_available(streams.progress(_events(spark, sf)), "progress", "complete")
+
+
+@query("stream_leaderboard", "SELECT user_id, CAST(sum(CASE WHEN event_type = 'signup' THEN 15 ELSE 5 END) AS BIGINT) AS score FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def stream_leaderboard(spark, sf):
+    points = _events(spark, sf).select("user_id", F.when(F.col("step") == "done", 15).otherwise(5).alias("points"))
+    return streams.run_available(streams.leaderboard_stream(points), "leaderboard", "complete")
+
+
+@query("stream_client_state", f"""
+SELECT {_K} AS client_id, round(avg(value), 6) AS sentiment_score, count(*) AS total_interactions, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_contact FROM events GROUP BY 1""")
+def stream_client_state(spark, sf):
+    notes = _events(spark, sf).select(F.col("k").alias("client_id"), F.col("value").alias("sentiment_score"), "ts")
+    out = streams.run_available(streams.client_state_stream(notes), "client-state", "complete")
+    return out.select("client_id", F.round("sentiment_score", 6).alias("sentiment_score"), "total_interactions", F.date_format("last_contact_date", "yyyy-MM-dd HH:mm:ss").alias("last_contact"))
+
+
+@query("stream_dedup")
+def stream_dedup(spark, sf):
+    notes = _events(spark, sf).select("ts", F.concat_ws(" ", "step", F.col("user_id").cast("string")).alias("text"))
+    return streams.run_available(streams.dedup_stream(notes), "dedup").select("text_key", "text")
+
+
+@query("stream_enrich", "SELECT count(*) AS notes, count(DISTINCT doc_id) AS ids FROM documents")
+def stream_enrich(spark, sf):
+    notes = streams.note_stream(spark, sf, DOCUMENTS, pattern="documents.parquet").withColumnRenamed("doc_id", "id")
+    enriched = streams.enrich_stream(notes, "text", "lang", PACK).select("id", "tier", "tags", "complexity")
+    out = streams.run_available(enriched, "enriched")
+    return out.agg(F.count("*").alias("notes"), F.count_distinct("id").alias("ids"))
+
+
+@query("stream_warehouse", """
+SELECT count_if(value <= 100) AS good, count_if(value > 100) AS bad, CAST(sum(CASE WHEN value <= 100 THEN length(props) ELSE 0 END) AS BIGINT) AS chars FROM events""")
+def stream_warehouse(spark, sf):
+    e = streams.note_stream(spark, sf, EVENTS, pattern="events.parquet").select(
+        F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("props").alias("original_text"), "value"
+    )
+    warehouse, quarantine = shared_folder(spark, "stream-warehouse"), shared_folder(spark, "stream-quarantine")
+    streams.warehouse_sink(
+        e, warehouse, quarantine, shared_folder(spark, "stream-warehouse-checkpoint"), rules=lambda: {"value": F.col("value") <= 100},
+        to_rows=lambda good: good.select("id", "timestamp", F.length("original_text").alias("chars")),
+    ).awaitTermination()
+    good = spark.read.parquet(warehouse).agg(F.count("*").alias("good"), F.sum("chars").alias("chars"))
+    bad = readers.read_quarantine(spark, quarantine).agg(F.count("*").alias("bad"))
+    both = good.unionByName(bad, allowMissingColumns=True)
+    return both.agg(F.max("good").alias("good"), F.max("bad").alias("bad"), F.max("chars").alias("chars"))
+
+
