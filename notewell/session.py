@@ -50,3 +50,13 @@ def cut_lineage(df, name: str):
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df):
+    """Rows of a few large files over all cores, before CPU-bound work.
+
+    Does nothing when the scan already has a partition per core, as it has at scale. Meant
+    for plain scans: counting the partitions of a scan reads nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

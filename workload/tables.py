@@ -11,6 +11,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notewell.session import spread
+
 END = datetime(2024, 1, 30, 0, 0, 0)
 ORDERS_END = datetime(2001, 8, 1, 0, 0, 0)
 
@@ -255,7 +257,7 @@ ORDER_TEXTS_SQL = f"SELECT o_orderkey AS id, o_custkey, c_mktsegment, o_orderpri
 
 
 def order_texts(spark: SparkSession, sf: str) -> DataFrame:
-    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    o, c = spread(table(spark, sf, "orders")), table(spark, sf, "customer")
     return o.join(c, o.o_custkey == c.c_custkey).select(
         F.col("o_orderkey").alias("id"), "o_custkey", "c_mktsegment", "o_orderpriority", "o_totalprice", F.expr(NOTE_TEXT).alias("text")
     )
@@ -287,7 +289,7 @@ def products(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").withColumnRenamed("doc_id", "id")
+    return spread(table(spark, sf, "documents")).withColumnRenamed("doc_id", "id")
 
 
 def part_tags(spark: SparkSession, sf: str) -> DataFrame:
