@@ -99,20 +99,23 @@ def filter_products(df: DataFrame, category: str | None = None, min_price: float
 
 
 def metadata_predicate(field: str, op: str, value) -> Column:
-    """``$ne`` and ``$nin`` keep nulls; range operators and ``$in`` drop them."""
+    """``$ne`` and ``$nin`` keep nulls; range operators and ``$in`` are null there, so a filter drops them.
+
+    The latter stay bare comparisons: wrapped in a default they would not reach the scan.
+    """
     col = F.col(field)
     if op == "$eq":
         return col.eqNullSafe(F.lit(value))
     if op == "$ne":
         return ~col.eqNullSafe(F.lit(value))
     if op == "$in":
-        return F.coalesce(col.isin(*value), F.lit(False))
+        return col.isin(*value)
     if op == "$nin":
         return ~F.coalesce(col.isin(*value), F.lit(False))
     ranges = {"$gt": col > value, "$gte": col >= value, "$lt": col < value, "$lte": col <= value}
     if op not in ranges:
         raise ValueError(f"unknown operator {op!r}")
-    return F.coalesce(ranges[op], F.lit(False))
+    return ranges[op]
 
 
 def apply_filters(df: DataFrame, filters: Iterable[tuple[str, str, object]]) -> DataFrame:
