@@ -89,19 +89,26 @@ def clean_dataset(df: DataFrame, text_col: str = "text", lang: str | None = "lan
     return filters.null_literals(audited, skip=[text_col])
 
 
-def cleaning_report(df: DataFrame, cleaned: DataFrame, text_col: str = "text", lang: str | None = "lang",
-                    id_col: str = "id") -> DataFrame:
-    """One row of counts: ``cleaned`` is the output of :func:`clean_dataset` before the duplicates leave."""
+def cleaning_report(df: DataFrame, cleaned: DataFrame, text_col: str = "text", lang: str | None = "lang") -> DataFrame:
+    """One row of counts; ``cleaned`` is the output of :func:`clean_dataset` before the duplicates leave."""
     keys = [text_col] + ([lang] if lang and lang in cleaned.columns else [])
-    before = filters.count_empty(df, text_col).withColumn("__one", F.lit(1))
-    after = cleaned.agg(
-        F.count_if("changed").alias("rows_cleaned"),
-        F.sum("fillers_removed").alias("fillers_removed"),
-        F.count_if(F.col("pii_hits") > 0).alias("pii_rows"),
-        F.count("*").alias("__kept"),
-    ).withColumn("__one", F.lit(1))
-    final = dedup.first_ids(cleaned, keys, id_col).agg(F.count("*").alias("final_rows")).withColumn("__one", F.lit(1))
-    report = before.join(after, "__one").join(final, "__one")
+    before = filters.count_empty(df, text_col)
+    # one pass over the cleaned rows: counts per distinct text first, their sums afterwards
+    per_text = cleaned.groupBy(dedup.key_digest(keys).alias("__key")).agg(
+        F.count("*").alias("__n"),
+        F.count_if("changed").alias("__changed"),
+        F.sum("fillers_removed").alias("__fillers"),
+        F.count_if(F.col("pii_hits") > 0).alias("__pii"),
+    )
+    after = per_text.agg(
+        F.sum("__n").alias("__kept"),
+        F.sum("__changed").alias("rows_cleaned"),
+        F.sum("__fillers").alias("fillers_removed"),
+        F.sum("__pii").alias("pii_rows"),
+        F.count("*").alias("final_rows"),
+    )
+    both = before.unionByName(after, allowMissingColumns=True)
+    report = both.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in both.columns])
     return report.select(
         F.col("rows").alias("original_rows"),
         (F.col("empty_rows") + F.col("blank_texts")).alias("empty_rows_removed"),

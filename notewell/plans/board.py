@@ -10,6 +10,7 @@ from notewell.functions import lists, payload, scalars
 from notewell.functions import matching as m
 from notewell.operators import filters, joins, paging, windows
 from notewell.plans import metrics
+from notewell.session import cut_lineage
 
 P4 = schemas.PILLARS[3]
 DEFAULT_ACTION = "Relance conseiller recommandee."
@@ -72,12 +73,20 @@ def opportunity_board(notes: DataFrame, users: DataFrame, clients: DataFrame, ac
                       ids: str | None = None) -> DataFrame:
     """Newest candidates, scored, filtered, sorted, cut and numbered.
 
-    The candidate cut (at most 5000 rows) precedes the JSON parsing and the joins.
+    The candidate cut (at most 5000 rows) precedes the JSON parsing and the joins. The pool is
+    written once, so the notes are read once; the other tables are reduced to the pool's keys
+    by semi-joins against that small table, so none of them is shuffled whole.
     """
     base = filters.in_window(notes, "timestamp", end=end, days=days, window=window)
     base = filters.with_ids(base, "id", ids)
-    pool = paging.recent_candidates(base, limit)
-    rows = opportunity_rows(pool, users, clients, actions).withColumnRenamed("id", "note_id")
+    pool = cut_lineage(paging.recent_candidates(base, limit), "board-pool")
+
+    def wanted(df: DataFrame, key: str, ids_of: DataFrame, column: str) -> DataFrame:
+        return df.join(ids_of.select(F.col(column).alias(key)).distinct(), key, "left_semi")
+
+    here = wanted(actions, "note_id", pool, "id")
+    people = pool.select(F.col("advisor_id").cast("bigint").alias("id")).unionAll(here.select(F.col("manager_id").cast("bigint")))
+    rows = opportunity_rows(pool, wanted(users, "id", people, "id"), wanted(clients, "id", pool, "client_id"), here).withColumnRenamed("id", "note_id")
     kept = filters.filter_opportunities(rows, advisor, priority, status, text)
     return windows.with_row_index(kept, paging.sort_columns(sort), limit)
 
