@@ -496,7 +496,7 @@ def alerts(spark, sf):
 
 
 @query("health", f"""
-SELECT round(greatest(0, score), 4) AS health_score, CASE WHEN score > 80 THEN 'healthy' WHEN score > 60 THEN 'warning' ELSE 'critical' END AS health_status, n AS alerts_count FROM (
+SELECT round(greatest(0, score), 4) AS health_score, CASE WHEN score > 80 THEN 'healthy' WHEN score > 60 THEN 'warning' ELSE 'critical' END AS health_status, CAST(n AS INTEGER) AS alerts_count FROM (
   SELECT n, 100 - n * 10 - CASE WHEN success_rate < 99 THEN (100 - success_rate) * 2 ELSE 0 END
     - CASE WHEN total_feedback >= 10 AND accuracy_rate < 90 THEN 100 - accuracy_rate ELSE 0 END AS score
   FROM (SELECT *, len(list_filter(string_split({_ALERTS}, ';'), lambda x: x <> '')) AS n FROM ({_SYSTEM})))""")

@@ -263,7 +263,7 @@ _MERGED = "[string_split(p_name, ' ')[1], lower(p_type), string_split(p_name, '
 
 @query("merge_unique", f"""
 SELECT p_partkey AS id, array_to_string(list_sort(list_distinct(list_concat(string_split(p_name, ' '), [lower(p_type), string_split(p_name, ' ')[1]]))), ',') AS merged,
-  len(list_distinct({_MERGED})) AS n FROM part""")
+  CAST(len(list_distinct({_MERGED})) AS INTEGER) AS n FROM part""")
 def merge_unique(spark, sf):
     merged = lists.merge_unique(
         F.transform("actual", lambda v: F.concat(F.lit(" "), v)), F.concat("expected", F.array(F.lit(" "), F.lit(None).cast("string")))

@@ -185,7 +185,7 @@ SELECT *, least(20e0, q) AS lq, least(30e0, b) AS bc, least(15e0, i) AS it, leas
 SCORE_SQL = f"SELECT *, tc + lq + bc + it + rf + CASE WHEN negation THEN 15 ELSE 0 END AS total FROM ({ROUTE_SQL})"
 
 
-@query("complexity", f"SELECT id, words AS word_count, tc AS text_complexity, lq AS linguistic_quality, bc AS business_criticality, it AS intent_type, rf AS risk_flags, negation, total AS complexity FROM ({SCORE_SQL})")
+@query("complexity", f"SELECT id, CAST(words AS INTEGER) AS word_count, tc AS text_complexity, lq AS linguistic_quality, bc AS business_criticality, it AS intent_type, rf AS risk_flags, negation, total AS complexity FROM ({SCORE_SQL})")
 def complexity(spark, sf):
     return route.complexity(t.order_texts(spark, sf)).select("id", *route.FEATURES, "negation", "complexity")
 

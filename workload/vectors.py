@@ -34,14 +34,14 @@ def cosine(spark, sf):
 
 
 @query("knn", f"""
-SELECT query_id, item_id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM ({_PAIRS}) WHERE query_id <> item_id) WHERE rank <= 5""")
+SELECT query_id, item_id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM ({_PAIRS}) WHERE query_id <> item_id) WHERE rank <= 5""")
 def knn(spark, sf):
     v = _vectors(spark, sf)
     return vectors.knn(v, v, 5, skip_same=True).withColumn("score", F.round("score", 6))
 
 
 @query("hybrid_search", f"""
-SELECT query_id, item_id, round(s, 4) AS score, round(1 - s, 4) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM ({_PAIRS}) WHERE il IN (1, 3, 5) AND il <> 3) WHERE rank <= 3""")
+SELECT query_id, item_id, round(s, 4) AS score, round(1 - s, 4) AS distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM ({_PAIRS}) WHERE il IN (1, 3, 5) AND il <> 3) WHERE rank <= 3""")
 def hybrid_search(spark, sf):
     v = _vectors(spark, sf)
     return vectors.hybrid_search(v, v, [("label", "$in", [1, 3, 5]), ("label", "$ne", 3)], 3)

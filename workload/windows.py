@@ -12,7 +12,7 @@ from workload.registry import query
 
 
 @query("row_index", """
-SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS row_index FROM (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20)""")
+SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS INTEGER) AS row_index FROM (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20)""")
 def row_index(spark, sf):
     order = [F.col("p_retailprice").desc(), F.col("p_partkey")]
     return windows.with_row_index(t.table(spark, sf, "part"), order, 20).select("p_partkey", "row_index")
@@ -88,7 +88,7 @@ def opportunity_rows(spark, sf):
 @query("opportunity_board", f"""
 WITH pool AS (SELECT * FROM ({t.BOARD_SQL}) WHERE "timestamp" >= TIMESTAMP '2001-08-01' - INTERVAL 30 DAY AND "timestamp" <= TIMESTAMP '2001-08-01' ORDER BY "timestamp" DESC, id LIMIT 500),
 kept AS (SELECT * FROM pool WHERE urgency_level = 3 ORDER BY priority_score DESC, id LIMIT 40)
-SELECT row_number() OVER (ORDER BY priority_score DESC, id) AS row_index, id AS note_id, {_COLUMNS} FROM kept""")
+SELECT CAST(row_number() OVER (ORDER BY priority_score DESC, id) AS INTEGER) AS row_index, id AS note_id, {_COLUMNS} FROM kept""")
 def opportunity_board(spark, sf):
     out = board.opportunity_board(*_frames(spark, sf), limit=40, end=t.ORDERS_END, window="30d", priority="urgent")
     return out.select("row_index", "note_id", *_NAMES)
