@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from notewell.llm import chat_format, sharding
+from notewell.llm import chat_format, quality_model, sharding, toxicity
+from notewell.llm.labelled import held
 from notewell.llm.registry import query
 from notewell.llm.tables import table
 
@@ -39,3 +40,20 @@ def op3_sharding(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot", "map_version", "next_shard", "next_version",
     )
+
+
+def scored(spark, sf_dir, operator, column, modulus, rest, least):
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(column).alias("label")).where(~held(modulus, rest))
+    rows = operator.score(docs, operator.fit(docs, labels))
+    return rows.select("doc_id", held(modulus, rest).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    return scored(spark, sf_dir, toxicity, "toxic", 5, 0, 0.5)
+
+
+@query("op9_quality_model")
+def op9_quality_model(spark, sf_dir):
+    return scored(spark, sf_dir, quality_model, "quality", 4, 2, 0.7)

@@ -128,3 +128,27 @@ def runs(counts: np.ndarray) -> np.ndarray:
     total = int(counts.sum())
     ends = np.cumsum(counts)
     return np.arange(total) - np.repeat(ends - counts, counts)
+
+
+class Lookup:
+    """Values of known hashes: a bit table sends most unknown hashes away before the binary search."""
+
+    BITS = 20
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.values = np.asarray(keys, np.uint64)[order], np.asarray(values)[order]
+        self.table = np.zeros(1 << self.BITS, bool)
+        self.table[self._slot(self.keys)] = True
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the known hashes and their values."""
+        at = np.flatnonzero(self.table[self._slot(hashes)])
+        if not len(at) or not len(self.keys):
+            return np.zeros(0, np.int64), self.values[:0]
+        place = np.minimum(np.searchsorted(self.keys, hashes[at]), len(self.keys) - 1)
+        good = self.keys[place] == hashes[at]
+        return at[good], self.values[place[good]]
