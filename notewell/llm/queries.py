@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from notewell.llm import chat_format, quality_model, sharding, toxicity
+from notewell.llm import chat_format, packing, quality_model, sharding, toxicity
 from notewell.llm.labelled import held
 from notewell.llm.registry import query
 from notewell.llm.tables import table
@@ -57,3 +57,8 @@ def op8_toxicity(spark, sf_dir):
 @query("op9_quality_model")
 def op9_quality_model(spark, sf_dir):
     return scored(spark, sf_dir, quality_model, "quality", 4, 2, 0.7)
+
+
+@query("op7_packing")
+def op7_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
