@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """``text`` and ``label`` of at most ``limit`` rows of ``labels`` (``doc_id``, ``label`` 0 or 1), in hash order."""
+def sample(docs: DataFrame, labels: DataFrame, limit: int, kinds: int = 2) -> DataFrame:
+    """``text`` and ``label`` of at most ``limit`` rows of ``labels`` (``doc_id``, ``label`` from 0 below ``kinds``), in hash order."""
     order = F.xxhash64(F.col("doc_id"))
-    chosen = labels.select("doc_id", "label").where("doc_id IS NOT NULL AND label IN (0, 1)").orderBy(order, "doc_id", "label").limit(limit)
+    chosen = labels.select("doc_id", "label").where(F.col("doc_id").isNotNull() & (F.col("label") >= 0) & (F.col("label") < kinds)).orderBy(order, "doc_id", "label").limit(limit)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `limit` ids
     return texts.orderBy(order, "doc_id", "text").limit(limit).select("text", F.col("label").cast("int").alias("label"))
 

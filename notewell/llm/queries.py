@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from notewell.llm import chat_format, packing, quality_model, sharding, toxicity
+from notewell.llm import chat_format, language_id, packing, quality_model, sharding, toxicity
 from notewell.llm.labelled import held
 from notewell.llm.registry import query
 from notewell.llm.tables import table
@@ -62,3 +62,11 @@ def op9_quality_model(spark, sf_dir):
 @query("op7_packing")
 def op7_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op5_language_id")
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    labels = docs.where(~held(3, 1)).select("doc_id", F.col("lang").alias("label"))
+    rows = language_id.predict(docs, language_id.fit(docs, labels))
+    return rows.select("doc_id", held(3, 1).alias("held_out"), "lang_pred", "score")
