@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from notewell.llm import chat_format, language_id, packing, quality_model, sharding, toxicity
+from notewell.llm import chat_format, decontamination, language_id, packing, quality_model, sharding, toxicity
 from notewell.llm.labelled import held
 from notewell.llm.registry import query
 from notewell.llm.tables import table
@@ -70,3 +70,28 @@ def op5_language_id(spark, sf_dir):
     labels = docs.where(~held(3, 1)).select("doc_id", F.col("lang").alias("label"))
     rows = language_id.predict(docs, language_id.fit(docs, labels))
     return rows.select("doc_id", held(3, 1).alias("held_out"), "lang_pred", "score")
+
+
+WORDS_OF = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+DECONTAMINATION_SQL = f"""
+WITH iw AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, {WORDS_OF.format("text")} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id, w[p : p + least(len(w), 10) - 1] AS win
+        FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS p FROM iw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(win) AS k FROM win),
+dw AS (SELECT doc_id, coalesce({WORDS_OF.format("text")}, []) AS w FROM documents),
+dwin AS (SELECT doc_id, k, p, w[p : p + k - 1] AS win FROM (SELECT doc_id, k, w, unnest(generate_series(1, len(w) - k + 1)) AS p FROM dw, sizes WHERE len(w) >= k)),
+hit AS (SELECT doc_id, item_id, k, p FROM dwin JOIN win USING (win)),
+hw AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(generate_series(p, p + k - 1)) AS q FROM hit) GROUP BY doc_id),
+hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+"""
+
+
+@query("op6_decontamination", DECONTAMINATION_SQL)
+def op6_decontamination(spark, sf_dir):
+    rows = decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate(F.zip_with("hit_from", "hit_to", lambda a, b: b - a), F.lit(0).cast("long"), lambda a, b: a + b)
+    return rows.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
