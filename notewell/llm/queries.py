@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from notewell.llm import chat_format, decontamination, language_id, packing, quality_model, sharding, toxicity
+from notewell.llm import chat_format, decontamination, language_id, near_dedup, packing, quality_model, sharding, toxicity
 from notewell.llm.labelled import held
 from notewell.llm.registry import query
 from notewell.llm.tables import table
@@ -95,3 +95,9 @@ def op6_decontamination(spark, sf_dir):
     return rows.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
+
+
+@query("op4_near_dedup")
+def op4_near_dedup(spark, sf_dir):
+    rows = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
