@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from notewell.llm import chat_format, decontamination, language_id, near_dedup, packing, quality_model, sharding, toxicity
+from notewell.llm import chat_format, decontamination, embedding_dedup, language_id, near_dedup, packing, quality_model, sharding, toxicity
 from notewell.llm.labelled import held
 from notewell.llm.registry import query
 from notewell.llm.tables import table
@@ -101,3 +101,20 @@ def op6_decontamination(spark, sf_dir):
 def op4_near_dedup(spark, sf_dir):
     rows = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+                     WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a) LEFT JOIN n USING (vec_id)
+"""
+
+
+@query("op10_embedding_dedup", EMBEDDING_SQL)
+def op10_embedding_dedup(spark, sf_dir):
+    rows = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
