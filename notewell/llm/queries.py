@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from notewell.llm import chat_format, decontamination, embedding_dedup, language_id, near_dedup, packing, quality_model, sharding, toxicity
+from notewell.llm import chat_format, decontamination, embedding_dedup, language_id, near_dedup, packing, quality_model, sharding, suffix_dedup, toxicity
 from notewell.llm.labelled import held
 from notewell.llm.registry import query
 from notewell.llm.tables import table
@@ -118,3 +118,8 @@ FROM (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a) LEFT JOIN n
 def op10_embedding_dedup(spark, sf_dir):
     rows = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
     return rows.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
