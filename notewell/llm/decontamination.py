@@ -26,8 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notewell.llm import words
+from notewell.llm.tables import bundled, unbundled
 
 WINDOW = 10  # words of a phrase; a shorter item is one phrase
 BLOCK_BYTES = 4 << 20  # text of the items that are searched in one pass
@@ -185,23 +187,25 @@ def _lists(values, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values, kind))
 
 
-HITS = "n_words long, hit_from array<long>, hit_to array<long>, items array<string>"
+_COUNTS = T.StructType([
+    T.StructField("n_words", T.LongType()), T.StructField("hit_from", T.ArrayType(T.LongType())), T.StructField("hit_to", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType())),
+])
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with only ``doc_id`` and ``text``, the number of words, the merged ranges of hit words and the ids of the items found.
+    """``doc_id``, ``text``, the number of words, the merged ranges of hit words, the ids of the items found and ``rest`` (the other columns).
 
     ``benchmark`` has ``item_id`` and ``text``.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(n_bytes / block_bytes))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text")
+    out = bundled(docs)
+    schema = T.StructType([out.schema["doc_id"], out.schema["text"], *_COUNTS, out.schema["rest"]])
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else items
         phrases = Phrases([(r["item_id"], r["text"]) for r in part.collect()], window)  # about block_bytes
-        out = out.mapInArrow(_search(phrases, block > 0), f"doc_id {kind}, text string, {HITS}")
+        out = out.mapInArrow(_search(phrases, block > 0), schema)
     return out
 
 
@@ -238,13 +242,14 @@ def _search(phrases: Phrases, again: bool):
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(np.diff(first), pa.int64()), _lists(begin - first[of], n, pa.int64()), _lists(end - first[of], n, pa.int64()),
                 _lists(list(names), np.bincount(text, minlength=len(batch)), pa.string()),
-            ], ["doc_id", "text", "n_words", "hit_from", "hit_to", "items"])
+                batch.column(batch.num_columns - 1),
+            ], ["doc_id", "text", "n_words", "hit_from", "hit_to", "items", "rest"])
 
     return run
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id``, ``text`` without the hit words and all between them, and ``n_spans`` cut out."""
+    """``docs``, with all its columns, and the hit words and all between them cut out of ``text``."""
 
     def run(batches):
         for batch in batches:
@@ -257,7 +262,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
                 for a, b in zip(begins[k], ends[k], strict=True):
                     keep[starts[a] : stops[b - 1]] = False
                 texts[k] = raw[keep].tobytes().decode()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int64())], ["doc_id", "text", "n_spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(6)], ["doc_id", "text", "rest"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return hits(docs, benchmark, window).mapInArrow(run, f"doc_id {kind}, text string, n_spans long")
+    rows = hits(docs, benchmark, window)
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["text"], rows.schema["rest"]])
+    return unbundled(rows.mapInArrow(run, schema), docs)

@@ -31,7 +31,7 @@ from notewell.llm.tables import settle
 
 COSINE = 0.95
 BLOCKS = 4
-TILE_ROWS = 4096
+TILE_ROWS = 8192
 STRIP = 256  # rows of a tile that are compared at once
 SLACK = 1e-5  # on squared distances taken in single precision; verification is exact
 
@@ -51,11 +51,15 @@ def prepared(vectors: DataFrame, blocks: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            lead = []
-            for v in batch.column(1).to_pylist():
-                x = np.array(v)
-                x = rotated(x[None, :] / np.linalg.norm(x))[0]
-                lead.append([float(x[a]) for a, _ in block_edges(len(x), blocks)])
+            lead = [None] * len(batch)
+            border = np.asarray(batch.column(1).offsets)
+            values, size = batch.column(1).flatten().to_numpy(), np.diff(border)
+            for n in np.unique(size):
+                rows = np.flatnonzero(size == n)
+                x = values[(border[rows] - border[0])[:, None] + np.arange(n)]
+                x = rotated(x / np.sqrt((x * x).sum(axis=1, keepdims=True)))
+                for row, values_of in zip(rows, x[:, [a for a, _ in block_edges(n, blocks)]].tolist(), strict=True):
+                    lead[row] = values_of
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead, pa.list_(pa.float64()))], ["rep", "vector", "copies", "lead"])
 
     flat = vectors.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("copies"))
@@ -84,29 +88,28 @@ def _join(blocks: int, cosine: float):
     """Per (block, tile, tile) group of rows that arrive sorted by it: (rep, links, smallest linked rep)."""
     budget = 2 - 2 * cosine
 
-    def solve(block: int, rep, copies, tile, raw):
-        x = np.array(raw)
+    def solve(block: int, rep: np.ndarray, copies: np.ndarray, tile: np.ndarray, x: np.ndarray):
         norm = np.sqrt((x * x).sum(axis=1))
         unit = x / norm[:, None]
         y = rotated(unit).astype(np.float32)
         edges = block_edges(x.shape[1], blocks)
         near = [budget * (b - a) / x.shape[1] + SLACK for a, b in edges]
-        parts = [y[:, a:b] for a, b in edges]
-        square = [(p * p).sum(axis=1) for p in parts]
-        tile = np.array(tile)
+        one = np.ones((len(x), 1), np.float32)
+        forth, back = [], []  # their products are squared distances
+        for a, b in edges[: block + 1]:
+            part = y[:, a:b]
+            square = (part * part).sum(axis=1, keepdims=True)
+            forth.append(np.hstack((-2 * part, square, one)))
+            back.append(np.hstack((part, one, square)))
         left = np.flatnonzero(tile == tile[0])
         right = np.flatnonzero(tile != tile[0])
         alone = not len(right)
         right = left if alone else right
-        links, least = np.zeros(len(x), np.int64), np.array(rep)
-        rep, copies = np.array(rep), np.array(copies)
-
-        def distance(k: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            return square[k][i][:, None] + square[k][j][None, :] - 2 * (parts[k][i] @ parts[k][j].T)
-
+        links, least = np.zeros(len(x), np.int64), rep.copy()
+        over = [np.ascontiguousarray(b[right].T) for b in back]
         for at in range(0, len(left), STRIP):
             i = left[at : at + STRIP]
-            found = distance(block, i, right) <= near[block]
+            found = forth[block][i] @ over[block] <= near[block]
             if alone:
                 found &= np.arange(len(right))[None, :] > np.arange(at, at + len(i))[:, None]
             some = np.flatnonzero(found.any(axis=1))
@@ -114,13 +117,8 @@ def _join(blocks: int, cosine: float):
                 continue
             i, found = i[some], found[some]
             for k in range(block):  # an earlier block has this pair
-                found &= distance(k, i, right) > near[k]
+                found &= forth[k][i] @ over[k] > near[k]
             p, q = np.nonzero(found)
-            if not len(p):
-                continue
-            if len(p) > found.size // 50:
-                good = (unit[i] @ unit[right].T)[p, q] >= cosine - 1e-9
-                p, q = p[good], q[good]
             for lo in range(0, len(p), 65536):
                 a, b = i[p[lo : lo + 65536]], right[q[lo : lo + 65536]]
                 good = np.einsum("ij,ij->i", x[a], x[b]) / (norm[a] * norm[b]) >= cosine
@@ -132,23 +130,29 @@ def _join(blocks: int, cosine: float):
         return rep[hit], links[hit], least[hit]
 
     def run(batches):
-        key, rows = None, []
+        key, held = None, []
 
         def out(found):
             columns = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "links", "least"])
 
+        def close():
+            return solve(key[0], *(np.concatenate([h[k] for h in held]) for k in range(4)))
+
         for batch in batches:
             found = []
-            for row in zip(*[batch.column(k).to_pylist() for k in range(8)], strict=True):
-                if row[:4] != key:
-                    if rows:
-                        found.append(solve(key[0], *zip(*rows, strict=True)))
-                    key, rows = row[:4], []
-                rows.append(row[4:])
+            keys = np.column_stack([batch.column(k).to_numpy() for k in range(4)])
+            at = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(batch)])) if len(batch) else [0]
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                if tuple(keys[lo]) != key:
+                    if held:
+                        found.append(close())
+                    key, held = tuple(keys[lo]), []
+                values = batch.column(7).slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, key[1])
+                held.append((*(batch.column(k).to_numpy()[lo:hi] for k in (4, 5, 6)), values))
             yield out(found)
-        if rows:
-            yield out([solve(key[0], *zip(*rows, strict=True))])
+        if held:
+            yield out([close()])
 
     return run
 

@@ -222,26 +222,51 @@ def unpack(model: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
     return known["labels"], np.frombuffer(known["weights"], np.float32).reshape(1 << BITS, len(known["labels"])) if known["labels"] else None, known["change"]
 
 
+def _labelled(labels: list[str], weights, change, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Label (-1: none) and share of each text."""
+    best, score = np.full(len(column), -1), np.zeros(len(column))
+    for lo, hi, data, at in words.chunks(column) if labels else ():
+        _, _, rows, gram, a, b, first = features(data, at)
+        p = marginals(emissions(weights, rows, gram, a, b), change, first)
+        total = np.concatenate((np.zeros((1, len(labels))), np.cumsum(p, axis=0)))
+        mass = (total[first[1:]] - total[first[:-1]]) / np.maximum(1, np.diff(first))[:, None]
+        best[lo:hi] = np.where(np.diff(first) > 0, mass.argmax(axis=1), -1)
+        score[lo:hi] = np.clip(mass.max(axis=1), 0, 1)
+    return best, np.where(best < 0, 0.0, score)
+
+
+def _with_letters(docs: DataFrame) -> DataFrame:
+    """``docs`` and, last, whether the text has a letter."""
+    return docs.select("*", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+
+
 def predict(docs: DataFrame, model: bytes) -> DataFrame:
     """``doc_id, lang_pred, score`` for every row: the label with the largest expected share of the words, and that share."""
 
     def run(batches):
-        labels, weights, change = unpack(model)
+        known = unpack(model)
         for batch in batches:
-            best, score = np.full(len(batch), -1), np.zeros(len(batch))
-            for lo, hi, data, at in words.chunks(batch.column(1)) if labels else ():
-                _, _, rows, gram, a, b, first = features(data, at)
-                p = marginals(emissions(weights, rows, gram, a, b), change, first)
-                total = np.concatenate((np.zeros((1, len(labels))), np.cumsum(p, axis=0)))
-                mass = (total[first[1:]] - total[first[:-1]]) / np.maximum(1, np.diff(first))[:, None]
-                best[lo:hi] = np.where(np.diff(first) > 0, mass.argmax(axis=1), -1)
-                score[lo:hi] = np.clip(mass.max(axis=1), 0, 1)
-            names = pa.array([labels[k] if k >= 0 else UNKNOWN for k in best], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), names, pa.array(np.where(best < 0, 0.0, score)), batch.column(2)], ["doc_id", "lang_pred", "score", "lettered"])
-
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
-    out = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, lettered boolean")
-    return out.select("doc_id", F.when(F.col("lettered"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("lettered"), F.col("score")).otherwise(0.0).alias("score"))
+            best, score = _labelled(*known, batch.column(1))
+            best = np.where(batch.column(2).to_numpy(zero_copy_only=False), best, -1)
+            names = pa.array([known[0][k] if k >= 0 else UNKNOWN for k in best], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), names, pa.array(np.where(best < 0, 0.0, score))], ["doc_id", "lang_pred", "score"])
+
+    rows = _with_letters(docs.select("doc_id", "text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+
+
+def keep(docs: DataFrame, model: bytes, least: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is known with a share of at least ``least``."""
+    text = docs.columns.index("text")
+
+    def run(batches):
+        known = unpack(model)
+        for batch in batches:
+            best, score = _labelled(*known, batch.column(text))
+            good = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False) & (best >= 0) & (score >= least)
+            yield batch.filter(pa.array(good)).select(list(range(batch.num_columns - 1)))
+
+    return _with_letters(docs).mapInArrow(run, docs.schema)
 
 
 def spans(docs: DataFrame, model: bytes) -> DataFrame:

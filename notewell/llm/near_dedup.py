@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from notewell.llm import words
 from notewell.llm.components import components
@@ -234,3 +235,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     keys = (F.col("s.d1") == F.col("m.d1")) & (F.col("s.d2") == F.col("m.d2")) & (F.col("s.n_shingles") == F.col("m.n_shingles")) & F.col("s.doc_id").isNotNull()
     out = sig.select("doc_id", "n_shingles", "d1", "d2").alias("s").join(merged.alias("m"), keys, "left")
     return out.select("s.doc_id", "s.n_shingles", F.coalesce("m.component_id", "s.doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: of each group the one with the smallest id; rows with a null id stay."""
+    found = near_duplicates(docs, width, percent)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.join(stay, docs["doc_id"] == stay["id"], "left_semi")
+    nth = "nth"
+    while nth in docs.columns:
+        nth += "_"
+    once = rows.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))).where(F.col(nth) == 1).drop(nth)
+    return once.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -29,10 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notewell.llm import words
 from notewell.llm.suffix_array import suffix_arrays
-from notewell.llm.tables import keyed_texts, settle
+from notewell.llm.tables import bundled, keyed_texts, settle, unbundled
 
 LENGTH = 400
 GROUP = 64  # different segments of one anchor whose suffixes are sorted together
@@ -98,8 +99,10 @@ def segments(docs: DataFrame, length: int, hashes_only: bool = False) -> DataFra
 
 
 def _compressed(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``key`` and the text's bytes in a compressed frame, for the shuffles that carry texts."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """``docs`` with ``key`` and, instead of the text, its bytes in a compressed ``frame``, for the shuffles that carry texts."""
+    rows = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    names = [c for c in rows.columns if c != "text"]
+    schema = T.StructType([rows.schema[c] for c in names] + [T.StructField("frame", T.BinaryType())])
 
     def run(batches):
         import zstandard
@@ -108,9 +111,9 @@ def _compressed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, at = words.buffers(batch.column(1))
             frames = [squeeze.compress(data[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(frames, pa.binary())], ["doc_id", "key", "frame"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(frames, pa.binary())], [*names, "frame"])
 
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(run, f"doc_id {kind}, key long, frame binary")
+    return rows.mapInArrow(run, schema)
 
 
 def _cut(length: int):
@@ -271,10 +274,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
 
 
 def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id``, ``key``, the compressed ``frame`` of the text and ``spans`` (array of first and last) of every row."""
+    """``doc_id``, ``rest`` (the other columns), the compressed ``frame`` of the text and ``spans`` (array of first and last) of every row."""
     spans = repeated_spans(docs, length).groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # of one document
-    texts = _compressed(keyed_texts(docs))
-    return texts.join(spans, texts["doc_id"].eqNullSafe(spans["doc_id"]) & (texts["key"] == spans["key"]), "left").select(texts["doc_id"], "frame", "spans")
+    texts = _compressed(bundled(docs))
+    joined = texts.join(spans, texts["doc_id"].eqNullSafe(spans["doc_id"]) & (texts["key"] == spans["key"]), "left")
+    return joined.select(texts["doc_id"], "frame", F.coalesce("spans", F.array().cast("array<struct<first: bigint, last: bigint>>")).alias("spans"), "rest")
 
 
 def _kept(batch: pa.RecordBatch):
@@ -310,21 +314,17 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = marked(docs, length).select("doc_id", "frame", F.coalesce("spans", F.array()).cast("array<struct<first: bigint, last: bigint>>").alias("spans"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked(keyed_texts(docs), length).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def clean(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id``, the remaining ``text`` and ``n_removed`` (bytes) of every row."""
+    """``docs``, with all its columns, and the repeated stretches cut out of ``text``."""
 
     def run(batches):
         for batch in batches:
-            texts, removed = [], []
-            for raw, keep in _kept(batch):
-                texts.append(raw[keep].tobytes().decode(errors="ignore"))
-                removed.append(int(len(raw) - keep.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], ["doc_id", "text", "n_removed"])
+            texts = pa.array([raw[keep].tobytes().decode(errors="ignore") for raw, keep in _kept(batch)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, batch.column(3)], ["doc_id", "text", "rest"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = marked(docs, length).select("doc_id", "frame", F.coalesce("spans", F.array()).cast("array<struct<first: bigint, last: bigint>>").alias("spans"))
-    return rows.mapInArrow(run, f"doc_id {kind}, text string, n_removed long")
+    rows = marked(docs, length)
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("text", T.StringType()), rows.schema["rest"]])
+    return unbundled(rows.mapInArrow(run, schema), docs)

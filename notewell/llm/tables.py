@@ -30,6 +30,17 @@ def keyed_texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", "text", *more)
 
 
-def remainder(docs: DataFrame, modulus: int):
-    """crc32 of the id as text, modulo ``modulus``."""
-    return F.crc32(docs["doc_id"].cast("string").cast("binary")) % modulus
+def others(docs: DataFrame) -> list[str]:
+    """The columns that an operator only passes on."""
+    return [c for c in docs.columns if c not in ("doc_id", "text")]
+
+
+def bundled(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and ``rest``, a struct of all other columns, so that none of their names can clash."""
+    rest = [F.col(f"`{c}`") for c in others(docs)] or [F.lit(0).alias("none")]
+    return docs.select("doc_id", "text", F.struct(*rest).alias("rest"))
+
+
+def unbundled(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` in their order, from ``doc_id``, ``text`` and ``rest``."""
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns])
