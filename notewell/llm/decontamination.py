@@ -7,9 +7,6 @@ that sequence in a wavelet matrix with ranks, the symbol counts, and every fourt
 position. All test phrases are searched backwards together; occurrences are located by
 walking to a sampled position, and their word ranges are merged into removal spans.
 
-Phrases have a greatest length, so suffixes are sorted to that depth only; beyond it their
-order cannot matter to a search.
-
 Test items are taken in blocks of bounded size, one after the other over the same documents,
 so neither the driver nor a task ever holds more than one block of phrases per pass.
 
@@ -37,9 +34,9 @@ SAMPLE = 4  # every fourth suffix position is kept
 
 
 class FmIndex:
-    """Index of a symbol sequence (int array, symbols from 0), right for patterns of at most ``depth`` symbols."""
+    """Index of a symbol sequence (int array, symbols from 0)."""
 
-    def __init__(self, text: np.ndarray, sigma: int, depth: int):
+    def __init__(self, text: np.ndarray, sigma: int):
         self.text = np.append(text, 0)  # the end counts as one more separator
         n = len(self.text)
         rank, reach = self.text.astype(np.int64), 1
@@ -49,10 +46,10 @@ class FmIndex:
                 ahead[:-reach] = rank[reach:] + 1
             key = rank * (n + sigma + 1) + ahead
             order = np.argsort(key, kind="stable")
-            if 2 * reach >= depth:
-                break
             sorted_key = key[order]
             rank[order] = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
+            if rank[order[-1]] == n - 1:
+                break
             reach *= 2
         last = self.text[order - 1]
         self.before = np.concatenate(([0], np.cumsum(np.bincount(self.text, minlength=sigma))))
@@ -130,7 +127,7 @@ class Phrases:
         self.sigma = len(vocabulary) + 1
         self.lengths = np.array([len(p) for p in found], np.int64)
         self.width = int(self.lengths.max(initial=1))
-        self.shortest = int(self.lengths.min(initial=1))
+        self.shortest = int(self.lengths.min()) if len(self.lengths) else 1
         self.table = np.zeros((len(found), self.width), np.int64)
         for k, phrase in enumerate(found):
             self.table[k, self.width - len(phrase) :] = np.searchsorted(vocabulary, np.array(phrase, np.uint64)) + 1
@@ -163,7 +160,7 @@ def find(phrases: Phrases, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np
     flags, pairs = np.zeros(n_words, bool), np.zeros((0, 2), np.int64)
     if kept_symbol and len(phrases.table) and sum(map(len, kept_symbol)):
         symbol, word = np.concatenate(kept_symbol), np.concatenate(kept_word)
-        index = FmIndex(symbol, phrases.sigma, phrases.width)
+        index = FmIndex(symbol, phrases.sigma)
         which, lo, hi = index.search(phrases.table, phrases.lengths)
         count = hi - lo
         at = index.locate(np.repeat(lo, count) + words.runs(count))
