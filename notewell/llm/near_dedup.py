@@ -208,7 +208,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     wanted = inside.select("node").distinct()
     texts = keyed_texts(docs).join(wanted, F.col("doc_id") == F.col("node"), "left_semi")
-    sets = settle(stored_sets(texts.select("doc_id", "text"), width).groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
+    once = texts.groupBy("doc_id", F.xxhash64("text")).agg(F.any_value("text").alias("text"))  # repeated rows; an id may still have several texts
+    sets = settle(stored_sets(once.select("doc_id", "text"), width), "sets")
     own = pairs.join(sets.withColumnRenamed("shingles", "x"), pairs["node"] == sets["id"]).select("node", "pivot", "x")
     other = sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("y"))
     confirmed = own.join(other, "pivot").select("node", "pivot", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
