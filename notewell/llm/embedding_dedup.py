@@ -10,7 +10,8 @@ The range join of a block sorts the vectors by the block's first coordinate into
 equal size; two tiles meet if their ranges are no further apart than the block's radius.
 Tiles are cut by rank, so groups of near-equal vectors, however large, spread over tiles;
 vectors that are exactly equal are joined once and counted with their number. A task holds
-two tiles and gives, per vector, the number of its links and one edge to its group there.
+two tiles and gives, per vector, the number of its links and one edge to the component that
+it has among them.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows
 with a null id, link with nothing; vectors of different lengths link only within their
@@ -84,8 +85,21 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(finite & F.exists("vector", lambda x: x != 0))
 
 
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Bring the components of linked positions together: ``label`` leads each position to the first of its component."""
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
 def _join(blocks: int, cosine: float):
-    """Per (block, tile, tile) group of rows that arrive sorted by it: (rep, links, smallest linked rep)."""
+    """Per (block, tile, tile) group of rows that arrive sorted by it: (rep, links, rep of its component)."""
     budget = 2 - 2 * cosine
 
     def solve(block: int, rep: np.ndarray, copies: np.ndarray, tile: np.ndarray, x: np.ndarray):
@@ -105,7 +119,7 @@ def _join(blocks: int, cosine: float):
         right = np.flatnonzero(tile != tile[0])
         alone = not len(right)
         right = left if alone else right
-        links, least = np.zeros(len(x), np.int64), rep.copy()
+        links, label = np.zeros(len(x), np.int64), np.arange(len(x))
         over = [np.ascontiguousarray(b[right].T) for b in back]
         for at in range(0, len(left), STRIP):
             i = left[at : at + STRIP]
@@ -124,17 +138,16 @@ def _join(blocks: int, cosine: float):
                 good = np.einsum("ij,ij->i", x[a], x[b]) / (norm[a] * norm[b]) >= cosine
                 a, b = a[good], b[good]
                 links += np.bincount(a, copies[b], len(x)).astype(np.int64) + np.bincount(b, copies[a], len(x)).astype(np.int64)
-                np.minimum.at(least, a, rep[b])
-                np.minimum.at(least, b, rep[a])
+                unite(label, a, b)
         hit = np.flatnonzero(links)
-        return rep[hit], links[hit], least[hit]
+        return rep[hit], links[hit], rep[label[hit]]
 
     def run(batches):
         key, held = None, []
 
         def out(found):
             columns = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "links", "least"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "links", "with"])
 
         def close():
             return solve(key[0], *(np.concatenate([h[k] for h in held]) for k in range(4)))
@@ -180,9 +193,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, blocks: int = BL
     loaded = keyed.join(points.select("rep", "copies", "vector"), "rep").select("block", "size", "low", "high", "rep", "copies", "tile", "vector")
     order = ["block", "size", "low", "high"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = settle(loaded.repartition(parts, *order).sortWithinPartitions(*order, "tile", "rep").mapInArrow(_join(blocks, cosine), "rep long, links long, least long"), "links")
+    found = settle(loaded.repartition(parts, *order).sortWithinPartitions(*order, "tile", "rep").mapInArrow(_join(blocks, cosine), "rep long, links long, with long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    first = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    first = components(found.select(F.col("rep").alias("a"), F.col("with").alias("b")))
 
     named = points.select("rep", "vector", "copies").join(links, "rep", "left").join(first.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = named.select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
