@@ -9,6 +9,7 @@ from notewell import fixed_values as fv
 from notewell import schemas
 from notewell.functions import lists
 from notewell.functions import matching as m
+from notewell.session import cut_lineage
 
 
 def parse_analysis(col: Column, schema: str = schemas.PAYLOAD) -> Column:
@@ -76,17 +77,18 @@ def completeness(record: Column) -> Column:
     return (sum((c.cast("int") for c in checks), F.lit(0)) * 20).cast("int")
 
 
-def find_audio_paths(df, json_col: str, depth: int = 4):
-    """(all columns, path, value) rows: leaves named like audio or valued like audio files.
+def find_audio_paths(df, json_col: str):
+    """(all columns, path, value) rows: leaves named like audio or valued like audio files, at any depth.
 
-    Walks the variant level by level with ``variant_explode``; ``depth`` is the number of
-    nested levels visited, and levels beyond the data's depth add no rows.
+    The texts are parsed once. Each level's containers are written to the shared folder and
+    opened in the next round; the rounds end when a level has no container.
     """
     keep = [c for c in df.columns if c != json_col]
     level = df.select(*keep, F.try_parse_json(json_col).alias("__v"), F.lit("").alias("__path"))
+    audio = "(?:" + "|".join(s.replace(".", r"\.") for s in fv.AUDIO_SUFFIXES) + ")$"
     hits = None
-    for _ in range(depth):
-        level = level.lateralJoin(
+    while True:
+        opened = level.lateralJoin(
             df.sparkSession.tvf.variant_explode(F.col("__v").outer()).select(
                 F.col("pos").alias("__pos"), F.col("key").alias("__key"), F.col("value").alias("__child")
             )
@@ -95,18 +97,15 @@ def find_audio_paths(df, json_col: str, depth: int = 4):
             F.col("__key").isNotNull(),
             F.when(F.col("__path") == "", F.col("__key")).otherwise(F.concat_ws(".", "__path", "__key")),
         ).otherwise(F.concat(F.col("__path"), F.lit("["), F.col("__pos").cast("string"), F.lit("]")))
-        level = level.withColumn("__path", step)
-        leaf = F.when(
-            F.schema_of_variant("__child") == "STRING", F.try_variant_get("__child", "$", "string")
-        )
-        key = F.lower(F.coalesce(F.col("__key"), F.lit("")))
-        audio_key = m.any_word(key, fv.AUDIO_KEYS) & F.col("__key").isNotNull()
-        audio_value = F.lower(leaf).rlike("(?:" + "|".join(s.replace(".", r"\.") for s in fv.AUDIO_SUFFIXES) + ")$")
-        found = level.where(leaf.isNotNull() & F.col("__key").isNotNull() & (audio_key | audio_value)).select(
-            *keep, F.col("__path").alias("path"), leaf.alias("value")
-        )
+        kind = F.schema_of_variant("__child")
+        leaf = F.when(kind == "STRING", F.try_variant_get("__child", "$", "string"))
+        named = m.any_word(F.lower(F.coalesce(F.col("__key"), F.lit(""))), fv.AUDIO_KEYS)
+        is_audio = F.col("__key").isNotNull() & (named | F.lower(leaf).rlike(audio))
+        container = kind.rlike("^(?:OBJECT|ARRAY)")
+        opened = opened.select(*keep, step.alias("__path"), leaf.alias("value"), F.when(container, F.col("__child")).alias("__v"), is_audio.alias("__audio"))
+        opened = cut_lineage(opened.where(F.col("__v").isNotNull() | (F.col("value").isNotNull() & F.col("__audio"))), "audio-paths")
+        found = opened.where("value IS NOT NULL").select(*keep, F.col("__path").alias("path"), "value")
         hits = found if hits is None else hits.unionAll(found)
-        level = level.where(F.schema_of_variant("__child").rlike("^(?:OBJECT|ARRAY)")).select(
-            *keep, F.col("__child").alias("__v"), "__path"
-        )
-    return hits
+        level = opened.where("__v IS NOT NULL").select(*keep, "__v", "__path")
+        if level.isEmpty():
+            return hits

@@ -71,7 +71,7 @@ def recordings(notes: DataFrame, users: DataFrame, clients: DataFrame) -> DataFr
 
 
 def recent_actions(actions: DataFrame, notes: DataFrame, end, days: int | None = None, status: str | None = None,
-                   ids: Sequence[int] | None = None, limit: int = 500) -> DataFrame:
+                   ids: Sequence[int] | None = None, *, limit: int) -> DataFrame:
     """Actions, newest first, whose note is at most ``days`` old."""
     out = actions
     if ids is not None:
@@ -109,33 +109,35 @@ def tag_by_lexicon(df: DataFrame, text: str, pack: RulePack, out: str = "tags")
     return df.withColumn(out, pack.matching(F.lower(F.coalesce(F.col(text), F.lit("")))))
 
 
-def phrases(text: Column, max_words: int) -> Column:
-    """Distinct runs of 1..max_words words of the lower-cased text, separators kept."""
-    pieces = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))
+def _literal(keyword: Column) -> Column:
+    """A regular expression for the keyword alone, with the boundaries of :meth:`RulePack.from_keywords`."""
+    quoted = F.regexp_replace(keyword, r"([^\p{L}\p{N}\s])", r"\\$1")
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}])"), quoted, F.lit(r"(?![\p{L}\p{N}])"))
 
-    def runs(words: Column, width: int) -> Column:
-        span = 2 * width - 1
-        return F.transform(
-            words,
-            lambda p, i: F.when(
-                p.rlike(r"^[\p{L}\p{N}]") & (i + span <= F.size(words)), F.array_join(F.slice(words, i + 1, span), "")
-            ),
-        )
 
-    return m.let(
-        pieces, lambda words: F.array_distinct(F.array_compact(F.concat(*[runs(words, w) for w in range(1, max_words + 1)])))
-    )
+def tag_by_lexicon_table(df: DataFrame, lexicon: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, tag) rows from a lexicon table ``(tag, keyword)`` of any size and keywords of any length.
 
+    Every keyword is looked up by its longest word, which stands whole in each text that holds
+    the keyword; candidates are then verified on the text with the inline form's boundaries.
+    A keyword without a letter or digit is tried on every text. A keyword under several tags
+    belongs to the one with the largest ``position``, if the lexicon has that column, else to
+    the one that sorts last. ``id_col`` names a row.
+    """
+    place = F.struct("position", "tag") if "position" in lexicon.columns else F.col("tag")
+    owned = lexicon.withColumn("__keyword", F.lower(F.trim("keyword"))).where("__keyword != ''").groupBy("__keyword").agg(F.max_by("tag", place).alias("tag"))
 
-def tag_by_lexicon_table(df: DataFrame, lexicon: DataFrame, id_col: str, text: str, max_words: int = 3) -> DataFrame:
-    """(id, tag) rows from a lexicon table ``(tag, keyword)`` of any size, by an equi-join on phrases.
+    def words_of(c: Column) -> Column:
+        return F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
-    ``max_words`` is the largest number of words in a keyword. A frequent phrase is a hot
-    join key on the text side only, which adaptive execution splits.
-    """
-    keys = lexicon.select("tag", F.lower(F.trim("keyword")).alias("__phrase")).where("__phrase != ''").distinct()
-    exploded = df.select(id_col, F.explode(phrases(F.coalesce(F.col(text), F.lit("")), max_words)).alias("__phrase"))
-    return exploded.join(keys, "__phrase").select(id_col, "tag").distinct()
+    longest = F.aggregate(words_of(F.col("__keyword")), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    keys = owned.withColumn("__word", longest)
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    texts = df.select(id_col, low.alias("__low"))
+    words = texts.select(id_col, F.explode(F.array_distinct(F.concat(words_of(F.col("__low")), F.array(F.lit(""))))).alias("__word"))
+    candidates = words.join(keys, "__word").select(id_col, "__keyword", "tag")
+    found = candidates.join(texts, id_col).where(F.col("__low").contains(F.col("__keyword")) & F.regexp_like("__low", _literal(F.col("__keyword"))))
+    return found.select(id_col, "tag").distinct()
 
 
 def dynamic_tag(tag: Column) -> Column:
@@ -226,15 +228,17 @@ def contains_join(needles: DataFrame, haystack: DataFrame, needle: str, hay: str
     n = needles.select(F.lower(needle).alias("__needle")).where(F.length("__needle") > 0).distinct()
     h = haystack.select(F.col(hay_id), F.lower(hay).alias("__hay"))
     sizes = range(1, size + 1)
-    gram_rows = h.select(hay_id, "__hay", F.explode(F.concat(*[_grams(F.col("__hay"), s) for s in sizes])).alias("__gram"))
-    frequency = gram_rows.groupBy("__gram").agg(F.count("*").alias("__freq"))
     wanted = F.when(F.length("__needle") >= size, _grams(F.col("__needle"), size)).otherwise(F.array("__needle"))
-    candidates = n.select("__needle", F.explode(wanted).alias("__gram")).join(frequency, "__gram", "left")
-    rarest = candidates.groupBy("__needle").agg(
+    needed = n.select("__needle", F.explode(wanted).alias("__gram"))
+    gram_rows = h.select(hay_id, F.explode(F.concat(*[_grams(F.col("__hay"), s) for s in sizes])).alias("__gram"))  # without the text
+    gram_rows = gram_rows.join(needed.select("__gram").distinct(), "__gram", "left_semi")
+    frequency = gram_rows.groupBy("__gram").agg(F.count("*").alias("__freq"))
+    rarest = needed.join(frequency, "__gram", "left").groupBy("__needle").agg(
         F.min_by("__gram", F.struct(F.coalesce("__freq", F.lit(0)), F.col("__gram"))).alias("__gram")
     )
     return (
-        rarest.join(gram_rows, "__gram")
+        rarest.join(gram_rows, "__gram").select("__needle", hay_id)
+        .join(h, hay_id)
         .where(F.col("__hay").contains(F.col("__needle")))
         .groupBy("__needle")
         .agg(F.min(hay_id).alias(hay_id))

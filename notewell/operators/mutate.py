@@ -180,7 +180,7 @@ def upsert_clients(clients: DataFrame, notes: DataFrame) -> DataFrame:
 
     A note with a reference belongs to that external id; one with only a name belongs to the
     first client whose name contains it; the rest found new clients (one per reference or
-    name). The mean sentiment is updated incrementally; ``days_since_contact`` is the gap to
+    name), whose ids follow from reference or name and lie above all ids in use. The mean sentiment is updated incrementally; ``days_since_contact`` is the gap to
     the previous contact.
     """
     by_ref = notes.where(F.col("client_ref").isNotNull())
@@ -197,6 +197,7 @@ def upsert_clients(clients: DataFrame, notes: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("id").cast("string"), F.col("__new"))
     batch = matched.withColumn("__key", key).groupBy("__key").agg(
         F.max("id").alias("__id"),
+        F.max("__new").alias("__new"),
         F.max("client_ref").alias("__ref"),
         F.min_by("client_name", "ts").alias("__name"),
         F.sum("sentiment").alias("__sum"),
@@ -205,16 +206,17 @@ def upsert_clients(clients: DataFrame, notes: DataFrame) -> DataFrame:
         F.max_by(F.when(F.lower("behavior").isin("vic", "ultimate", "platinum"), F.lower("behavior")),
                  F.when(F.lower("behavior").isin("vic", "ultimate", "platinum"), F.col("ts"))).alias("__behavior"),
     )
-    joined = clients.join(batch.withColumnRenamed("__id", "id").where("id IS NOT NULL"), "id", "left").unionByName(
-        batch.where("__id IS NULL").drop("__id"), allowMissingColumns=True
-    )
+    largest = clients.select(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).scalar()
+    new_id = largest + 1 + F.conv(F.substring(F.md5("__new"), 1, 14), 16, 10).cast("bigint")
+    founded = batch.where("__id IS NULL").withColumn("id", new_id).withColumn("__founded", F.lit(True))
+    joined = clients.join(batch.withColumnRenamed("__id", "id").where("id IS NOT NULL"), "id", "left").unionByName(founded.drop("__id"), allowMissingColumns=True)
     n0 = F.coalesce("total_interactions", F.lit(0))
     mean0 = F.coalesce("sentiment_score", F.lit(0.0))
     touched = F.col("__n").isNotNull()
     return joined.select(
         "id",
         F.coalesce("name", "__name", F.lit("Client inconnu")).alias("name"),
-        F.coalesce("external_client_id", F.when(F.col("id").isNull(), F.col("__ref"))).alias("external_client_id"),
+        F.coalesce("external_client_id", F.when(F.col("__founded"), F.col("__ref"))).alias("external_client_id"),
         category_of(F.col("__behavior"), F.col("category")).alias("category"),
         F.coalesce(F.upper("__behavior"), "vic_status", F.lit("Standard")).alias("vic_status"),
         F.when(touched, (mean0 * n0 + F.col("__sum")) / (n0 + F.col("__n"))).otherwise(F.col("sentiment_score")).alias("sentiment_score"),

@@ -106,7 +106,7 @@ def day_summary(notes: DataFrame, feedback: DataFrame, day: str) -> DataFrame:
     return metrics.daily_series(metrics.parse_notes(filters.on_day(notes, "timestamp", day)), filters.on_day(feedback, "created_at", day), day, day)
 
 
-def day_notes(notes: DataFrame, users: DataFrame, day: str, limit: int = 30) -> DataFrame:
+def day_notes(notes: DataFrame, users: DataFrame, day: str, limit: int) -> DataFrame:
     """The newest notes of a day with their previews; cut before parsing and joining."""
     newest = filters.on_day(notes, "timestamp", day).orderBy(F.col("timestamp").desc(), F.col("id")).limit(limit)
     names = users.select(F.col("id").alias("advisor_id"), F.coalesce("full_name", "email").alias("advisor_name"))

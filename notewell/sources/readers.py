@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,17 +80,26 @@ def read_products(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_latest(spark: SparkSession, folder: str, fmt: str = "csv", pattern: str | None = None) -> DataFrame:
-    """Rows of the file with the newest modification time; only file metadata decides."""
+    """All rows of the newest output below ``folder``: a file, or a folder of part files read as a whole.
+
+    An output is as new as its newest file; of equally new ones the last by name is taken.
+    Only file metadata decides.
+    """
     reader = spark.read.options(**CSV_OPTIONS) if fmt == "csv" else spark.read
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         files = files.option("pathGlobFilter", pattern)
-    newest = files.load(folder).select("path", "modificationTime").orderBy(F.col("modificationTime").desc(), F.col("path").desc()).limit(1).collect()
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    root = re.sub(scheme, "", folder).rstrip("/")
+    root = root if root.startswith("/") else os.path.abspath(root)
+    below = F.substring(F.regexp_replace("path", scheme, ""), F.lit(len(root) + 2), F.lit(1 << 20))
+    outputs = files.load(folder).select(F.substring_index(below, "/", 1).alias("output"), "modificationTime").groupBy("output").agg(F.max("modificationTime").alias("at"))
+    newest = outputs.orderBy(F.col("at").desc(), F.col("output").desc()).limit(1).collect()
     if not newest:
         raise FileNotFoundError(folder)
-    return reader.format(fmt).load(newest[0]["path"])
+    return reader.option("recursiveFileLookup", "true").format(fmt).load(f"{folder.rstrip('/')}/{newest[0]['output']}")
 
 
 def unpivot_lexicon(df: DataFrame) -> DataFrame:

@@ -84,6 +84,12 @@ def test_knn_within_a_hot_key(spark):
     assert len(got) == 100 and all(keys[r["query_id"]] == keys[r["item_id"]] for r in got)
 
 
+def test_knn_keeps_text_ids(spark):
+    df = spark.createDataFrame([("CA_001", [1.0, 0.0]), ("CA_002", [0.9, 0.1]), ("CA_003", [0.0, 1.0])], "vec_id string, embedding array<float>")
+    got = {r["query_id"]: r["item_id"] for r in vectors.knn(df, df, 1, skip_same=True, block_rows=1).collect()}
+    assert got == {"CA_001": "CA_002", "CA_002": "CA_001", "CA_003": "CA_002"}
+
+
 def test_zero_vectors_do_not_break_search(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "vec_id bigint, embedding array<float>")
     got = {(r["query_id"], r["item_id"]): r["score"] for r in vectors.knn(df, df, 2).collect()}
@@ -128,12 +134,12 @@ def test_normalized_tags_match_difflib(spark):
 def test_lexicon_table_equals_inline_pack(spark):
     from notewell.functions.packs import RulePack
 
-    words = {"bag": ["sac", "sac à main"], "wallet": ["card holder"], "tea": ["thé"]}
-    notes = spark.createDataFrame([(1, "Un sac à main."), (2, "card-holder"), (3, "le thé, card holder!"), (4, "sacs théière")], "id int, text string")
-    table = spark.createDataFrame([(t, w) for t, ws in words.items() for w in ws], "tag string, keyword string")
+    words = {"bag": ["sac", "sac à main"], "wallet": ["card holder"], "tea": ["thé"], "travel": ["sac de voyage cuir", "thé"], "code": ["c++", ".net", "++"]}
+    notes = spark.createDataFrame([(1, "Un sac à main."), (2, "card-holder"), (3, "le thé, card holder!"), (4, "sacs théière"), (5, "Sac de Voyage Cuir"), (6, "du c++ et .NET"), (7, "asp.net"), (8, "a ++ b"), (9, None)], "id int, text string")
+    table = spark.createDataFrame([(t, w, k) for k, (t, ws) in enumerate(words.items()) for w in ws], "tag string, keyword string, position int")
     joined = {(r["id"], r["tag"]) for r in joins.tag_by_lexicon_table(notes, table, "id", "text").collect()}
     inline = {(r["id"], t) for r in joins.tag_by_lexicon(notes, "text", RulePack.from_keywords("w", words)).collect() for t in r["tags"]}
-    assert joined == inline == {(1, "bag"), (3, "tea"), (3, "wallet")}
+    assert joined == inline == {(1, "bag"), (3, "travel"), (3, "wallet"), (5, "bag"), (5, "travel"), (6, "code"), (8, "code")}
 
 
 def test_reuse_respects_the_time_to_live(spark):
@@ -214,7 +220,8 @@ def test_new_clients_appear_once(spark):
     rows = mutate.upsert_clients(clients, notes).collect()
     old = next(r for r in rows if r["id"] == 1)
     assert (old.total_interactions, round(old.sentiment_score, 4), old.category, old.days_since_contact) == (3, 0.5, "VIC", 10)
-    new = {r["name"]: r for r in rows if r["id"] is None}
+    new = {r["name"]: r for r in rows if r["id"] != 1}
+    assert len({r["id"] for r in rows}) == 3 and all(r["id"] > 0 for r in rows)
     assert set(new) == {"Zoé", "inconnue"} and new["Zoé"].external_client_id == "E9" and new["Zoé"].total_interactions == 2 and new["inconnue"].category == "Ultimate"
 
 

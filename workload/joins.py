@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from notewell import fixed_values as fv
@@ -35,7 +37,7 @@ def join_inner(spark, sf):
 SELECT a.note_id, a.status FROM ({t.ACTIONS_SQL}) a JOIN ({t.ORDERS_SQL}) n ON n.id = a.note_id
 WHERE n."timestamp" >= TIMESTAMP '2001-08-01' - INTERVAL 365 DAY AND a.status = 'planned' ORDER BY a.updated_at DESC, a.note_id LIMIT 500""")
 def join_recent(spark, sf):
-    return joins.recent_actions(t.order_actions(spark, sf), t.order_notes(spark, sf), t.ORDERS_END, 365, "planned").select("note_id", "status")
+    return joins.recent_actions(t.order_actions(spark, sf), t.order_notes(spark, sf), t.ORDERS_END, 365, "planned", limit=500).select("note_id", "status")
 
 
 @query("merge_results", """
@@ -58,11 +60,12 @@ def user_inventory(spark, sf):
 LEXICON = {
     "article": ("the", "and", "this"), "french": ("les", "des", "elle", "dans"), "german": ("der", "und", "nicht"),
     "spanish": ("los", "para", "que"), "pair": ("of the", "de la"),
+    "long": ("and attion to thanedble the", "be the over to", "in of the and"), "marked": ("the, anea.", "an. the", "it, the"),
 }
 
 
 def _word(text: str, word: str) -> str:
-    return f"regexp_matches({text}, {lit('(?:^|[^\\p{L}\\p{N}])' + word + '(?:$|[^\\p{L}\\p{N}])')})"
+    return f"regexp_matches({text}, {lit('(?:^|[^\\p{L}\\p{N}])' + re.escape(word) + '(?:$|[^\\p{L}\\p{N}])')})"
 
 
 _TAGS = "concat_ws(',', " + ", ".join(
@@ -78,9 +81,9 @@ def tag_lexicon(spark, sf):
 
 @query("tag_lexicon_table", f"SELECT doc_id AS id, unnest(string_split({_TAGS}, ',')) AS tag FROM documents WHERE {_TAGS} <> ''")
 def tag_lexicon_table(spark, sf):
-    rows = [(tag, w) for tag, words in LEXICON.items() for w in words]
-    lexicon = spark.createDataFrame(rows, "tag string, keyword string")
-    return joins.tag_by_lexicon_table(t.documents(spark, sf), lexicon, "id", "text", 2)
+    rows = [(tag, w, k) for k, (tag, words) in enumerate(LEXICON.items()) for w in words]
+    lexicon = spark.createDataFrame(rows, "tag string, keyword string, position int")
+    return joins.tag_by_lexicon_table(t.documents(spark, sf), lexicon, "id", "text")
 
 
 @query("known_tags", """

@@ -256,12 +256,13 @@ def parse_list(spark, sf):
 @query("find_audio_paths", """
 SELECT event_id AS id, 'media.audio_url' AS path, 'http://x/' || event_id AS value FROM events WHERE event_type = 'click' UNION ALL
 SELECT event_id, 'media.files[0].file', 'a.mp3' FROM events WHERE event_type = 'click' UNION ALL
+SELECT event_id, 'a.b.c.d.e.record_url', 'deep.bin' FROM events WHERE event_type = 'click' UNION ALL
 SELECT event_id, 'clip', 'b.WAV' FROM events WHERE event_type = 'view'""")
 def find_audio_paths(spark, sf):
     e = t.table(spark, sf, "events")
     doc = F.when(
         F.col("event_type") == "click",
-        F.concat(F.lit('{"media": {"audio_url": "http://x/'), F.col("event_id").cast("string"), F.lit('", "files": [{"file": "a.mp3", "n": 3}, "c.mp3"]}, "t": 1}')),
+        F.concat(F.lit('{"media": {"audio_url": "http://x/'), F.col("event_id").cast("string"), F.lit('", "files": [{"file": "a.mp3", "n": 3}, "c.mp3"]}, "a": {"b": {"c": {"d": {"e": {"record_url": "deep.bin"}}}}}, "t": 1}')),
     ).when(F.col("event_type") == "view", '{"clip": "b.WAV", "x": ["y"]}').otherwise("{broken")
     return payload.find_audio_paths(e.select(F.col("event_id").alias("id"), doc.alias("js")), "js")
 

@@ -43,8 +43,8 @@ def read_notes(spark, sf):
 def read_latest(spark, sf):
     folder = shared_folder(spark, "runs")
     part = t.table(spark, sf, "part")
-    part.coalesce(1).write.option("header", "true").csv(f"{folder}/run=1")
-    part.where("p_type = 'PROMO'").coalesce(1).write.option("header", "true").csv(f"{folder}/run=2")
+    part.repartition(3).write.option("header", "true").csv(f"{folder}/run=1")
+    part.where("p_type = 'PROMO'").repartition(5).write.option("header", "true").csv(f"{folder}/run=2")
     return readers.read_latest(spark, folder, "csv", "*.csv").agg(F.count("*").alias("n"))
 
 
@@ -252,11 +252,15 @@ SELECT coalesce(c.id, -1) AS id, b.* FROM (SELECT o_orderkey, o_orderdate AS ts,
 
 @query("upsert_clients", f"""
 SELECT c.id, CASE WHEN b.vic THEN 'VIC' ELSE c.category END AS category, round(CASE WHEN b.n IS NULL THEN c.sentiment_score ELSE (c.sentiment_score * c.total_interactions + b.s) / (c.total_interactions + b.n) END, 6) AS sentiment_score,
-  c.total_interactions + coalesce(b.n, 0) AS total_interactions FROM ({t.CLIENTS_SQL}) c LEFT JOIN (SELECT id, count(*) AS n, sum(s) AS s, bool_or(vic) AS vic FROM ({_BATCH}) GROUP BY 1) b ON b.id = c.id""")
+  c.total_interactions + coalesce(b.n, 0) AS total_interactions FROM ({t.CLIENTS_SQL}) c LEFT JOIN (SELECT id, count(*) AS n, sum(s) AS s, bool_or(vic) AS vic FROM ({_BATCH}) GROUP BY 1) b ON b.id = c.id
+UNION ALL
+SELECT (SELECT max(id) FROM ({t.CLIENTS_SQL})) + 1 + CAST('0x' || substr(md5('ref:NEW-' || o_custkey), 1, 14) AS BIGINT), CASE WHEN bool_or(o_orderpriority = '1-URGENT') THEN 'VIC' ELSE 'Regular' END,
+  round(sum((o_custkey % 5) / 4e0) / count(*), 6), count(*) FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey""")
 def upsert_clients(spark, sf):
-    o = t.table(spark, sf, "orders").where("o_orderstatus <> 'P'")
+    o = t.table(spark, sf, "orders")
+    prefix = F.when(F.col("o_orderstatus") == "F", "EXT-").when(F.col("o_orderstatus") == "P", "NEW-")
     batch = o.select(
-        F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("EXT-"), F.col("o_custkey").cast("string"))).alias("client_ref"),
+        F.concat(prefix, F.col("o_custkey").cast("string")).alias("client_ref"),
         F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))).alias("client_name"),
         ((F.col("o_custkey") % 5) / 4.0).alias("sentiment"), F.when(F.col("o_orderpriority") == "1-URGENT", "vic").alias("behavior"), F.col("o_orderdate").alias("ts"),
     )

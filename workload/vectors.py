@@ -33,10 +33,13 @@ def cosine(spark, sf):
     return a.join(b, "vec_id").select("vec_id", F.round(vec.cosine(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
+_TEXT_ID = "'V' || lpad(CAST({} AS VARCHAR), 9, '0')"
+
+
 @query("knn", f"""
-SELECT query_id, item_id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM ({_PAIRS}) WHERE query_id <> item_id) WHERE rank <= 5""")
+SELECT {_TEXT_ID.format("query_id")} AS query_id, {_TEXT_ID.format("item_id")} AS item_id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM ({_PAIRS}) WHERE query_id <> item_id) WHERE rank <= 5""")
 def knn(spark, sf):
-    v = _vectors(spark, sf)
+    v = _vectors(spark, sf).withColumn("vec_id", F.concat(F.lit("V"), F.lpad(F.col("vec_id").cast("string"), 9, "0")))
     return vectors.knn(v, v, 5, skip_same=True).withColumn("score", F.round("score", 6))
 
 
@@ -44,7 +47,7 @@ def knn(spark, sf):
 SELECT query_id, item_id, round(s, 4) AS score, round(1 - s, 4) AS distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM ({_PAIRS}) WHERE il IN (1, 3, 5) AND il <> 3) WHERE rank <= 3""")
 def hybrid_search(spark, sf):
     v = _vectors(spark, sf)
-    return vectors.hybrid_search(v, v, [("label", "$in", [1, 3, 5]), ("label", "$ne", 3)], 3)
+    return vectors.hybrid_search(v, v, [("label", "$in", [1, 3, 5]), ("label", "$ne", 3)], 3, block_rows=64)  # many blocks
 
 
 @query("semantic_reuse", f"""

@@ -113,7 +113,7 @@ SELECT e.id AS note_id, u.full_name AS advisor_name, tier, round(confidence, 3)
   trim(regexp_replace(transcription, '\\s+', ' ', 'g')) AS transcription_preview
 FROM (SELECT * FROM ({t.EVENTS_SQL}) WHERE {_DAY} ORDER BY "timestamp" DESC, id LIMIT 30) e LEFT JOIN ({t.USERS_SQL}) u ON u.id = e.advisor_id""")
 def day_detail(spark, sf):
-    return board.day_notes(t.event_notes(spark, sf), t.users(spark, sf), "2024-01-15").drop("timestamp", "quality_score")
+    return board.day_notes(t.event_notes(spark, sf), t.users(spark, sf), "2024-01-15", 30).drop("timestamp", "quality_score")
 
 
 @query("day_summary", f"""
