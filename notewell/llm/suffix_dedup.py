@@ -11,8 +11,11 @@ the same document or another. Strings are judged on the input.
 3. The texts of the other segments are cut out and put together by anchor. For each anchor
    the suffix array of its segments is built (linear grouping construction, see
    ``suffix_array``); neighbours in it that agree on ``length`` bytes are repeated.
-   Anchors with more different segments than ``GROUP`` are not brought into one task: there
-   each single string is counted by a 128-bit hash. This is exact up to collisions.
+   The segments of an anchor with more different ones than ``GROUP`` are not brought into one
+   task. They are cut into blocks of ``BLOCK`` starts; equal strings of a block have its core,
+   the bytes common to all of them, so blocks meet by the hash of the core instead, and the
+   same is done again. Where even a core has too many different surroundings, each single
+   string is counted by a 128-bit hash, which is exact up to collisions.
 4. The starts found are mapped back to their documents and merged into spans.
 
 Defined results: a null text counts as empty; texts shorter than ``length`` keep everything;
@@ -37,6 +40,7 @@ from notewell.llm.tables import bundled, keyed_texts, settle, unbundled
 
 LENGTH = 400
 GROUP = 64  # different segments of one anchor whose suffixes are sorted together
+BLOCK = 16  # starts of a block
 BATCH_BYTES = 1 << 20  # text whose suffix arrays are built in step
 
 
@@ -222,11 +226,46 @@ def _sort_groups(length: int):
     return run
 
 
-def _single_starts(length: int):
-    """The strings of the segments by hash, for anchors with very many different segments."""
+def _blocks(length: int):
+    """The blocks of segments, with a key for the core in place of the anchor and a hash of the block as content."""
 
     def run(batches):
         for batch in batches:
+            rows, key, content, begin, starts, texts = [], [], [], [], [], []
+            anchors, first, count = (batch.column(k).to_numpy() for k in (0, 4, 5))
+            for k, raw in enumerate(batch.column(8)):
+                data = np.frombuffer(raw.as_buffer(), np.uint8)
+                prefix = words.prefix_hash(data)
+                gram = length // 2
+                at = np.arange(len(data) - gram + 1)
+                anchor = anchors[k : k + 1].view(np.uint64)
+                a = int(np.flatnonzero(words.mix(words.range_hash(prefix, at, at + gram)) == anchor[0])[0])
+                number = np.arange((a - count[k] + 1) // BLOCK, a // BLOCK + 1)
+                low, high = a - (number + 1) * BLOCK + 1, a - number * BLOCK  # first and last start of each block
+                core = words.mix(words.range_hash(prefix, high, low + length), 4)
+                key.append(words.mix(core + words.mix(number.astype(np.uint64) + anchor, 5), 6))
+                low, high = np.maximum(low, 0), np.minimum(high, count[k] - 1)
+                content.append(words.mix(words.range_hash(prefix, low, high + length), 7))
+                rows += [k] * len(number)
+                begin += (low + first[k]).tolist()
+                starts += (high - low + 1).tolist()
+                texts += [data[x : y + length].tobytes() for x, y in zip(low, high, strict=True)]
+            if not rows:
+                continue
+            row = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(content).view(np.int64)), batch.column(2).take(row), pa.array(begin, pa.int32()),
+                pa.array(starts, pa.int32()), batch.column(6).take(row), batch.column(7).take(row), pa.array(texts, pa.binary()),
+            ], ["anchor", "content", "copies", "begin", "starts", "doc_id", "key", "segment"])
+
+    return run
+
+
+def _single_starts(length: int):
+    """The strings of segments by hash."""
+
+    def run(whole_batches):
+        for batch in (b.slice(at, 256) for b in whole_batches for at in range(0, len(b), 256)):
             data, at = words.buffers(batch.column(8).cast(pa.large_binary()).view(pa.large_string()))
             prefix = words.prefix_hash(data)
             starts = batch.column(5).to_numpy().astype(np.int64)
@@ -245,6 +284,16 @@ def _single_starts(length: int):
     return run
 
 
+def _span(rows: DataFrame, length: int) -> DataFrame:
+    return rows.select("doc_id", "key", F.col("begin").cast("long").alias("first"), (F.col("begin") + F.col("starts") + length - 1).cast("long").alias("last"))
+
+
+def _undecided(distinct: DataFrame) -> DataFrame:
+    """Different segments whose anchor has another one, if not all of them are known to be repeated; ``m`` is their number."""
+    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("fewest")).where("m > 1 AND fewest = 1").select("anchor", "m")
+    return distinct.join(sizes, "anchor")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """``doc_id``, ``key`` (hash of id and text), ``first`` and ``last`` (bytes, end excluded) of repeated stretches; they may overlap."""
     spark = docs.sparkSession
@@ -254,23 +303,35 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     found = settle(segments(docs, length).join(again, "anchor"), "segments")
     place = F.min(F.struct("doc_id", "key", "begin", "starts")).alias("place")
     distinct = settle(found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), place), "distinct")
-    whole = found.join(distinct.where("n > 1").select("anchor", "content"), ["anchor", "content"])
-    whole = whole.select("doc_id", "key", F.col("begin").cast("long").alias("first"), (F.col("begin") + F.col("starts") + length - 1).cast("long").alias("last"))
+    whole = _span(found.join(distinct.where("n > 1").select("anchor", "content"), ["anchor", "content"]), length)
 
-    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("fewest")).where("m > 1 AND fewest = 1").select("anchor", "m")
-    wanted = distinct.join(sizes, "anchor").select("anchor", "content", "n", "m", "place.*")
+    wanted = _undecided(distinct).select("anchor", "content", "n", "m", "place.*")
     by_doc = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "content", "n", "m", "begin", "starts")).alias("parts"))  # of one document
     texts = _compressed(docs)
     joined = texts.join(by_doc, texts["doc_id"].eqNullSafe(by_doc["doc_id"]) & (texts["key"] == by_doc["key"])).select(texts["doc_id"], texts["key"], "frame", "parts")
-    # rows with equal id and text give equal segments: one of them is enough
-    cut = joined.mapInArrow(_cut(length), f"anchor long, content long, n long, m long, begin int, starts int, doc_id {kind}, key long, segment binary")
-    cut = settle(cut, "cut")
+    columns = f"anchor long, content long, n long, m long, begin int, starts int, doc_id {kind}, key long, segment binary"
+    cut = settle(joined.mapInArrow(_cut(length), columns), "cut")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_spans = cut.where(F.col("m") <= group).repartition(parts, "anchor").sortWithinPartitions("anchor", "content").mapInArrow(_sort_groups(length), f"doc_id {kind}, key long, first long, last long")
-    single = settle(cut.where(F.col("m") > group).mapInArrow(_single_starts(length), f"h1 long, h2 long, n long, doc_id {kind}, key long, first long"), "starts")
+    spans = f"doc_id {kind}, key long, first long, last long"
+
+    def by_suffixes(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "anchor").sortWithinPartitions("anchor", "content").mapInArrow(_sort_groups(length), spans)
+
+    few = by_suffixes(cut.where(F.col("m") <= group))
+
+    blocks = f"anchor long, content long, copies long, begin int, starts int, doc_id {kind}, key long, segment binary"
+    blocks = settle(cut.where(F.col("m") > group).mapInArrow(_blocks(length), blocks), "blocks")
+    different = settle(blocks.groupBy("anchor", "content").agg(F.sum("copies").alias("n")), "different")
+    whole_blocks = _span(blocks.where("copies = 1").join(different.where("n > 1").select("anchor", "content"), ["anchor", "content"]), length)
+    open_blocks = blocks.join(_undecided(different), ["anchor", "content"]).dropDuplicates(["anchor", "content"])
+    open_blocks = settle(open_blocks.select("anchor", "content", "n", "m", "begin", "starts", "doc_id", "key", "segment"), "open-blocks")
+    few_blocks = by_suffixes(open_blocks.where(F.col("m") <= group))
+
+    single = open_blocks.where(F.col("m") > group).mapInArrow(_single_starts(length), f"h1 long, h2 long, n long, doc_id {kind}, key long, first long")
+    single = settle(single, "starts")
     twice = single.groupBy("h1", "h2").agg(F.sum("n").alias("times")).where("times > 1").select("h1", "h2")
-    hot = single.where("n = 1").join(twice, ["h1", "h2"]).select("doc_id", "key", "first", (F.col("first") + length).alias("last"))
-    return whole.unionByName(sorted_spans).unionByName(hot)
+    strings = single.where("n = 1").join(twice, ["h1", "h2"]).select("doc_id", "key", "first", (F.col("first") + length).alias("last"))
+    return whole.unionByName(few).unionByName(whole_blocks).unionByName(few_blocks).unionByName(strings)
 
 
 def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
