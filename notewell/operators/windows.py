@@ -129,10 +129,10 @@ def last_n(df: DataFrame, keys: Sequence[str], ts: str, id_col: str, n: int = fv
     return top_n_per_group(df, keys, [F.col(ts).desc(), F.col(id_col).desc()], n)
 
 
-def metrics_history(snapshots: DataFrame, end, hours: int = 24, metric: str | None = None, ts: str = "timestamp",
+def metrics_history(snapshots: DataFrame, end, id_col: str, hours: int = 24, metric: str | None = None, ts: str = "timestamp",
                     keep: int = fv.MAX_SNAPSHOTS) -> DataFrame:
-    """The newest ``keep`` snapshots that are younger than ``hours``, one metric projected when asked."""
-    newest = snapshots.orderBy(F.col(ts).desc()).limit(keep)
+    """The newest ``keep`` snapshots (of equally new ones the larger ids) that are younger than ``hours``, one metric projected when asked."""
+    newest = snapshots.orderBy(F.col(ts).desc(), F.col(id_col).desc()).limit(keep)
     recent = newest.where(F.col(ts) > F.lit(end) - F.expr(f"INTERVAL {int(hours)} HOURS"))
     return recent.select(ts, metric) if metric else recent
 

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -9,9 +10,10 @@ from notewell.session import build_session  # noqa: E402
 
 
 # started on import, because test modules build columns at module level
+WORK = tempfile.mkdtemp(prefix="spark-")
 SESSION = build_session(
     "tests", "local[8]",
-    **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"},
+    **{"spark.checkpoint.dir": f"{WORK}/shared", "spark.sql.warehouse.dir": f"{WORK}/warehouse", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"},
 )
 SESSION.sparkContext.setLogLevel("OFF")
 

@@ -40,10 +40,10 @@ def running_sum(spark, sf):
 
 
 @query("metrics_history", """
-SELECT event_id, value FROM (SELECT * FROM events ORDER BY ts DESC LIMIT 1000) WHERE ts > TIMESTAMP '2024-01-30' - INTERVAL 72 HOUR""")
+SELECT event_id, value FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000) WHERE ts > TIMESTAMP '2024-01-30' - INTERVAL 72 HOUR""")
 def metrics_history(spark, sf):
     e = t.table(spark, sf, "events").withColumn("timestamp", F.col("ts"))
-    return windows.metrics_history(e, t.END, 72).select("event_id", "value")
+    return windows.metrics_history(e, t.END, "event_id", 72).select("event_id", "value")
 
 
 @query("first_pattern", f"""
