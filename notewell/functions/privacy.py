@@ -33,13 +33,18 @@ def mask_pii(text: Column, brands: Sequence[str] = ()) -> Column:
     return text
 
 
-def pii_counts(text: Column, brands: Sequence[str] = ()) -> Column:
-    """map(name -> hits), each rule counted on the text left by the rules before it."""
-    rules = mask_rules(brands)
+def masked_and_counted(text: Column, brands: Sequence[str] = ()) -> Column:
+    """struct(t, n): the masked text, and the hits of each rule on the text left by the rules before it, in one chain."""
     state = F.struct(text.alias("t"), F.array().cast("array<int>").alias("n"))
-    for _, mask, regex in rules:
+    for _, mask, regex in mask_rules(brands):
         state = m.let(state, _counter(mask, regex))
-    counts = F.map_from_arrays(F.array(*[F.lit(name) for name, _, _ in rules]), state["n"])
+    return state
+
+
+def pii_counts(text: Column, brands: Sequence[str] = ()) -> Column:
+    """map(name -> hits), each rule counted on the text left by the rules before it."""
+    names = F.array(*[F.lit(name) for name, _, _ in mask_rules(brands)])
+    counts = F.map_from_arrays(names, masked_and_counted(text, brands)["n"])
     return F.map_filter(counts, lambda _, hits: hits > 0)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from notewell import fixed_values as fv
 from notewell.functions import lists, privacy, text
 from notewell.operators import dedup, filters
+from notewell.session import cut_lineage
 
 
 def with_errors(df: DataFrame, rules: Mapping[str, Column], out: str = "errors") -> DataFrame:
@@ -73,7 +74,13 @@ def check_constraints(users: DataFrame | None = None, clients: DataFrame | None
 
 
 def clean_dataset(df: DataFrame, text_col: str = "text", lang: str | None = "lang", id_col: str = "id") -> DataFrame:
-    """Empty rows out, texts cleaned and masked, repeated texts out, null literals out.
+    """The cleaned dataset: of equal cleaned texts of a language the row with the smallest id stays."""
+    cleaned = cut_lineage(cleaned_rows(df, text_col, lang), "cleaned")  # cleaned once, read by both sides of the join
+    return dedup.dedup_notes(cleaned, text_col, lang, id_col)
+
+
+def cleaned_rows(df: DataFrame, text_col: str = "text", lang: str | None = "lang") -> DataFrame:
+    """Empty rows out, texts cleaned and masked, null literals out; repeated texts are still there.
 
     Adds ``fillers_removed``, ``pii_hits`` and ``changed``; :func:`cleaning_report` reads them.
     """
@@ -81,16 +88,17 @@ def clean_dataset(df: DataFrame, text_col: str = "text", lang: str | None = "lan
     code = F.upper(F.coalesce(F.col(lang), F.lit("FR"))) if lang and lang in df.columns else F.lit("FR")
     cleaned = text.clean_text(base.withColumn("__lang", code), text_col, "__lang")
     audited = (
-        cleaned.withColumn("pii_hits", privacy.pii_audit(F.col("cleaned"))["total"])
-        .withColumn(text_col, privacy.mask_pii(F.col("cleaned")))
+        cleaned.withColumn("__masked", privacy.masked_and_counted(F.col("cleaned")))
+        .withColumn("pii_hits", F.aggregate(F.col("__masked")["n"], F.lit(0), lambda acc, v: acc + v))
+        .withColumn(text_col, F.col("__masked")["t"])
         .withColumn("changed", F.col(text_col) != F.col("__original"))
-        .drop("__original", "__lang", "cleaned", "compression_ratio", "tokens_saved", "duplicates_removed")
+        .drop("__original", "__masked", "__lang", "cleaned", "compression_ratio", "tokens_saved", "duplicates_removed")
     )
     return filters.null_literals(audited, skip=[text_col])
 
 
 def cleaning_report(df: DataFrame, cleaned: DataFrame, text_col: str = "text", lang: str | None = "lang") -> DataFrame:
-    """One row of counts; ``cleaned`` is the output of :func:`clean_dataset` before the duplicates leave."""
+    """One row of counts; ``cleaned`` is the output of :func:`cleaned_rows`."""
     keys = [text_col] + ([lang] if lang and lang in cleaned.columns else [])
     before = filters.count_empty(df, text_col)
     # one pass over the cleaned rows: counts per distinct text first, their sums afterwards

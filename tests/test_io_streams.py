@@ -109,7 +109,9 @@ def test_bad_rows_go_to_quarantine(spark, tmp_path):
 def test_cleaning_report_counts(spark):
     rows = [(1, "Euh elle veut un sac", "FR"), (2, "Euh elle veut un sac", "FR"), (3, "  ", "FR"), (None, None, None), (4, "mail a@b.fr", "EN")]
     df = spark.createDataFrame(rows, SCHEMA)
-    cleaned = quality.clean_dataset(df)
+    cleaned = quality.cleaned_rows(df)
     row = quality.cleaning_report(df, cleaned).first()
     assert (row.original_rows, row.empty_rows_removed, row.duplicates_removed, row.final_rows, row.reduction_percent) == (5, 2, 1, 2, 60.0)
     assert row.fillers_removed == 2
+    kept = quality.clean_dataset(df)
+    assert sorted(r["id"] for r in kept.collect()) == [1, 4] and kept.columns == cleaned.columns

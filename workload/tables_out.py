@@ -303,7 +303,13 @@ def constraints(spark, sf):
 @query("cleaning_report")
 def cleaning_report(spark, sf):
     docs = t.documents(spark, sf).withColumn("text", F.when(F.col("source") == "src3", " ").otherwise(F.col("text")))
-    return quality.cleaning_report(docs, quality.clean_dataset(docs))
+    return quality.cleaning_report(docs, quality.cleaned_rows(docs))
+
+
+@query("clean_dataset")
+def clean_dataset(spark, sf):
+    kept = quality.clean_dataset(t.documents(spark, sf))
+    return kept.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"), F.min("id").alias("first_id"))
 
 
 @query("preview_dataset", "SELECT 'doc_id,text,lang,source,n_chars' AS columns, count(*) AS row_count, 3 AS sample_rows FROM documents")
