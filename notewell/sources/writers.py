@@ -87,14 +87,14 @@ def to_warehouse(df: DataFrame) -> DataFrame:
     )
 
 
-def append_warehouse(rows: DataFrame, path: str, salt: int = 1) -> None:
+def append_warehouse(rows: DataFrame, path: str) -> None:
     """Append partitioned by day, clustered by store and advisor within files.
 
-    ``salt`` spreads a day that holds much of the data over that many writers.
+    Days are brought together as far as their measured size allows: adaptive execution
+    splits a day that holds much of the data over several writers.
     """
     dated = rows.withColumn("date", F.to_date("timestamp"))
-    spread = F.pmod(F.xxhash64("note_id"), F.lit(max(1, salt)))
-    dated.repartition(F.col("date"), spread).sortWithinPartitions("date", "store_id", "advisor_id").write.mode("append").partitionBy(
+    dated.hint("rebalance", "date").sortWithinPartitions("date", "store_id", "advisor_id").write.mode("append").partitionBy(
         "date"
     ).parquet(path)
 

@@ -251,3 +251,30 @@ def test_cluster_size_shrinks(spark):
     df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(5)], "id int, embedding array<double>")
     assert vectors.cluster(df, 6).select("cluster").distinct().count() == 2
     assert vectors.cluster(df.limit(1), 6).first()["cluster"] == 0
+
+
+def test_percentiles_in_one_narrow_bucket_of_a_hot_key(spark):
+    rng = np.random.default_rng(8)
+    values = np.concatenate((rng.uniform(500, 504, 3000).round(4), -rng.uniform(0, 0.01, 500), [0.0, -7.5, 1e9]))
+    df = spark.createDataFrame([("hot", float(v)) for v in values] + [("one", 3.0), ("none", None)], "k string, v double").repartition(5)
+    got = {r["k"]: (r["p5"], r["p50"], r["p99"]) for r in windows.nearest_rank(df, ["k"], "v", [5, 50, 99]).collect()}
+    ranked = sorted(values)
+    assert got == {"hot": tuple(ranked[round(p / 100 * (len(ranked) - 1))] for p in (5, 50, 99)), "one": (3.0, 3.0, 3.0)}
+
+
+def test_running_totals_of_one_key_in_one_day(spark):
+    start = datetime(2024, 3, 1)
+    rows = [("hot", i, start.replace(hour=i % 24, minute=(7 * i) % 60, second=i % 3), i % 5) for i in range(300)] + [("other", 1000, start, 2)]
+    df = spark.createDataFrame(rows, "k string, id int, ts timestamp, v int").repartition(4)
+    got = {r["id"]: (r["running_sum"], r["running_count"]) for r in windows.running_totals(df, "k", "ts", "id", df["v"]).collect()}
+    expected, total = {}, 0
+    for n, (_, i, _, v) in enumerate(sorted(rows[:-1], key=lambda r: (r[2], r[1])), 1):
+        total += v
+        expected[i] = (total, n)
+    assert got == expected | {1000: (2, 1)}
+
+
+def test_first_rows_of_a_hot_group(spark):
+    df = spark.createDataFrame([("hot", i) for i in range(500)] + [("cold", i) for i in range(3)], "k string, id int").repartition(4)
+    rows = windows.top_n_of_hot_groups(df, ["k"], [df["id"].desc()], 100, "id").collect()
+    assert sorted(r["id"] for r in rows if r["k"] == "hot") == list(range(400, 500)) and len(rows) == 103

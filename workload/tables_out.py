@@ -91,7 +91,7 @@ _DAY = "lpad(CAST(o_custkey % 28 + 1 AS VARCHAR), 2, '0')"
 SELECT '2024-01-' || {_DAY} AS date, c_mktsegment AS store_id, count(*) AS n, count_if(regexp_matches(text, 'VIC')) AS vics, CAST(sum(length(text)) AS BIGINT) AS chars FROM ({t.ORDER_TEXTS_SQL}) GROUP BY 1, 2""")
 def io_warehouse_rows(spark, sf):
     path = shared_folder(spark, "warehouse")
-    writers.append_warehouse(writers.to_warehouse(_processed(spark, sf)), path, salt=2)
+    writers.append_warehouse(writers.to_warehouse(_processed(spark, sf)), path)
     back = spark.read.parquet(path)
     return back.groupBy(F.col("date").cast("string").alias("date"), "store_id").agg(
         F.count("*").alias("n"), F.count_if("is_vic").alias("vics"), F.sum("original_text_length").alias("chars")
