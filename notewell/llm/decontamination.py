@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notewell.llm import words
-from notewell.llm.tables import bundled, unbundled
+from notewell.llm.tables import bounded_batches, bundled, unbundled
 
 WINDOW = 10  # words of a phrase; a shorter item is one phrase
 BLOCK_BYTES = 4 << 20  # text of the items that are searched in one pass
@@ -194,6 +194,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
 
     ``benchmark`` has ``item_id`` and ``text``.
     """
+    bounded_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(n_bytes / block_bytes))

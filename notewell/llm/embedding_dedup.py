@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewell.llm.components import components
-from notewell.llm.tables import settle
+from notewell.llm.tables import bounded_batches, settle
 
 COSINE = 0.95
 BLOCKS = 4
@@ -173,6 +173,7 @@ def _join(blocks: int, cosine: float):
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """``vec_id, n_links, component_id`` for every row of ``vectors`` (``vec_id``, ``embedding``)."""
     spark = vectors.sparkSession
+    bounded_batches(spark)
     good = usable(vectors)
     points = settle(prepared(good, blocks), "vectors")
     leads = points.select("rep", F.size("vector").alias("size"), F.posexplode("lead").alias("block", "lead"))

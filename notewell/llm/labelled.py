@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notewell.llm.tables import bounded_batches
+
 
 def sample(docs: DataFrame, labels: DataFrame, limit: int, kinds: int = 2) -> DataFrame:
     """``text`` and ``label`` of at most ``limit`` rows of ``labels`` (``doc_id``, ``label`` from 0 below ``kinds``), in hash order."""
@@ -24,6 +26,8 @@ def sample(docs: DataFrame, labels: DataFrame, limit: int, kinds: int = 2) -> Da
 def fit(rows: DataFrame, train: Callable[[list[pa.RecordBatch]], bytes]) -> bytes:
     """``train`` over the whole (bounded) sample in one task; gives the model as bytes."""
 
+    bounded_batches(rows.sparkSession)
+
     def run(batches):
         yield pa.RecordBatch.from_pydict({"model": pa.array([train(list(batches))], pa.binary())})
 

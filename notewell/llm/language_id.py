@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewell.llm import labelled, words
+from notewell.llm.tables import bounded_batches
 
-TRAIN_ROWS = 3000  # bound of the labelled sample
+TRAIN_ROWS = 2000  # bound of the labelled sample
 UNKNOWN = "und"
 BITS = 17  # rows of the weight table
 BLOCK = 32  # words whose transfer matrices are multiplied before blocks are chained
@@ -171,6 +172,7 @@ def train(labels: list[str]):
         weights, change = np.zeros((1 << BITS, size), np.float32), np.zeros((size, size))
         if text_range and size:
             rows, gram, a, b = np.concatenate(rows_of), np.concatenate(grams), np.concatenate(a_of), np.concatenate(b_of)
+            del rows_of, grams, a_of, b_of
             text_label = np.array(text_label, int)
             of = [np.flatnonzero(text_label == k) for k in range(size)]
             seen = [k for k in range(size) if len(of[k])]
@@ -237,6 +239,7 @@ def _labelled(labels: list[str], weights, change, column: pa.Array) -> tuple[np.
 
 def _with_letters(docs: DataFrame) -> DataFrame:
     """``docs`` and, last, whether the text has a letter."""
+    bounded_batches(docs.sparkSession)
     return docs.select("*", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
 

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from notewell.llm import words
 from notewell.llm.components import components
-from notewell.llm.tables import keyed_texts, settle
+from notewell.llm.tables import bounded_batches, keyed_texts, settle
 
 BANDS = 24
 BAND_PERMUTATIONS = 2  # each gives a minimum and a maximum: four values a band, found at 0.8 with 1 - 3e-6
@@ -196,6 +196,7 @@ def _across(percent: int):
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row; ``doc_id`` must be a whole number."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     sig = settle(signatures(docs, width), "signatures")
     full = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")

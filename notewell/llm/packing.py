@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from notewell.llm.tables import keyed_texts, settle
+from notewell.llm.tables import bounded_batches, keyed_texts, settle
 
 END_TOKEN = 2
 SEQUENCE_TOKENS = 1024
@@ -80,6 +80,7 @@ def default_paths() -> tuple[str, str, str]:
 def pieces(docs: DataFrame, tokens: int = SEQUENCE_TOKENS, paths: tuple[str, str, str] | None = None, with_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids`` of every piece."""
     paths = paths or default_paths()
+    bounded_batches(docs.sparkSession)
     rows = keyed_texts(docs)
 
     def run(batches):

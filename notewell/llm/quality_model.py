@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from notewell.llm import labelled, words
+from notewell.llm.tables import bounded_batches
 
 TRAIN_ROWS = 8192  # bound of the labelled sample
 BITS = 18
@@ -99,5 +100,6 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(weights, batch.column(1)))], ["doc_id", "score"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")

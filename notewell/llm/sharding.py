@@ -89,14 +89,11 @@ def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS) -> DataFrame:
     rows = settle(records(docs, slots), "shard-records")
     first = first_map(slot_sizes(rows).collect(), shards, slots)  # one row per virtual slot at most
     grown = grow_map(first, shards)
-    versions = settle(spark.createDataFrame(first + grown, MAP_SCHEMA), "slot-map")  # the stored table, all versions
-    before: dict[int, int] = {}
-    places = []
-    for (v, slot, to, _, n), (w, _, then, _, _) in zip(first, grown, strict=True):
-        places.append((slot, to, before.get(to, 0), v, then, w))
-        before[to] = before.get(to, 0) + n
-    del versions
-    where = F.broadcast(spark.createDataFrame(places, "virtual_slot int, shard int, begins long, map_version int, next_shard int, next_version int"))
+    stored = settle(spark.createDataFrame(first + grown, MAP_SCHEMA), "slot-map")  # all versions; one row per slot and version
+    ahead = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
+    now = stored.where(F.col("version") == first[0][0]).select("virtual_slot", "shard", F.coalesce(F.sum("n_rows").over(ahead), F.lit(0)).alias("begins"), F.col("version").alias("map_version"))
+    then = stored.where(F.col("version") == grown[0][0]).select("virtual_slot", F.col("shard").alias("next_shard"), F.col("version").alias("next_version"))
+    where = F.broadcast(now.join(then, "virtual_slot"))
     order = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
     return (
         rows.withColumn("nth", F.row_number().over(order))

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from notewell.llm import words
 from notewell.llm.suffix_array import suffix_arrays
-from notewell.llm.tables import bundled, keyed_texts, settle, unbundled
+from notewell.llm.tables import bounded_batches, bundled, keyed_texts, settle, unbundled
 
 LENGTH = 400
 GROUP = 64  # different segments of one anchor whose suffixes are sorted together
@@ -297,6 +297,7 @@ def _undecided(distinct: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """``doc_id``, ``key`` (hash of id and text), ``first`` and ``last`` (bytes, end excluded) of repeated stretches; they may overlap."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = keyed_texts(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     again = segments(docs, length, hashes_only=True).groupBy("anchor").count().where("count > 1").select("anchor")

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 19  # texts are taken together up to this size; a longer text is taken alone
+CHUNK_BYTES = 1 << 18  # texts are taken together up to this size; a longer text is taken alone
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers = np.ones(1, np.uint64)
