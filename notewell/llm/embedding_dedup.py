@@ -4,7 +4,9 @@ Unit vectors with cosine c are sqrt(2 - 2c) apart. The vectors are rotated by a
 rotation and split into blocks. If a pair is within the whole squared-distance budget, it is
 within a proportional part of it in at least one block, so a range join in each block finds
 every pair. Pairs found are verified exactly with the cosine in double precision, and a pair
-counts in the first block that finds it, so nothing has to be made distinct.
+counts in the first block in which it is near, so nothing has to be made distinct. Single
+precision only finds candidates: which block is the first is decided in double precision from
+the stored rotated vectors, so that all tasks that meet a pair decide alike.
 
 The range join of a block sorts the vectors by the block's first coordinate into tiles of
 equal size; two tiles meet if their ranges are no further apart than the block's radius.
@@ -20,8 +22,6 @@ length; rows of the same id are one node; other columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +34,7 @@ COSINE = 0.95
 BLOCKS = 4
 TILE_ROWS = 8192
 STRIP = 256  # rows of a tile that are compared at once
-SLACK = 1e-5  # on squared distances taken in single precision; verification is exact
+SLACK = 1e-5  # on a block's squared distance, so that a pair within the budget is near in some block
 
 
 def rotation(n: int) -> np.ndarray:
@@ -48,23 +48,25 @@ def block_edges(n: int, blocks: int) -> list[tuple[int, int]]:
 
 
 def prepared(vectors: DataFrame, blocks: int) -> DataFrame:
-    """Distinct usable vectors: ``rep`` (smallest id), ``copies``, ``size``, ``vector`` (doubles as given) and the leading coordinate of each block."""
+    """Distinct usable vectors: ``rep`` (smallest id), ``copies``, ``size``, ``vector`` (doubles as given), the leading coordinate of each block and ``turned`` (unit length, rotated)."""
 
     def run(batches):
         for batch in batches:
-            lead = [None] * len(batch)
+            lead, turned = [None] * len(batch), np.empty(len(batch.column(1).flatten()))
             border = np.asarray(batch.column(1).offsets)
             values, size = batch.column(1).flatten().to_numpy(), np.diff(border)
             for n in np.unique(size):
                 rows = np.flatnonzero(size == n)
-                x = values[(border[rows] - border[0])[:, None] + np.arange(n)]
-                x = rotated(x / np.sqrt((x * x).sum(axis=1, keepdims=True)))
+                places = (border[rows] - border[0])[:, None] + np.arange(n)
+                x = values[places]
+                turned[places] = x = rotated(x / np.sqrt((x * x).sum(axis=1, keepdims=True)))
                 for row, values_of in zip(rows, x[:, [a for a, _ in block_edges(n, blocks)]].tolist(), strict=True):
                     lead[row] = values_of
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead, pa.list_(pa.float64()))], ["rep", "vector", "copies", "lead"])
+            turned = pa.ListArray.from_arrays(pa.array(border - border[0], pa.int32()), pa.array(turned))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead, pa.list_(pa.float64())), turned], ["rep", "vector", "copies", "lead", "turned"])
 
     flat = vectors.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("copies"))
-    return flat.select("rep", "vector", "copies").mapInArrow(run, "rep long, vector array<double>, copies long, lead array<double>")
+    return flat.select("rep", "vector", "copies").mapInArrow(run, "rep long, vector array<double>, copies long, lead array<double>, turned array<double>")
 
 
 _rotations: dict[int, np.ndarray] = {}
@@ -85,6 +87,15 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(finite & F.exists("vector", lambda x: x != 0))
 
 
+def block_distances(y: np.ndarray, a: np.ndarray, b: np.ndarray, edge: tuple[int, int]) -> np.ndarray:
+    """Squared distances of the pairs within a block: the same number whichever side and place the two rows have."""
+    out = np.zeros(len(a))
+    for j in range(*edge):
+        step = y[a, j] - y[b, j]
+        out += step * step
+    return out
+
+
 def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Bring the components of linked positions together: ``label`` leads each position to the first of its component."""
     while len(a):
@@ -102,12 +113,12 @@ def _join(blocks: int, cosine: float):
     """Per (block, tile, tile) group of rows that arrive sorted by it: (rep, links, rep of its component)."""
     budget = 2 - 2 * cosine
 
-    def solve(block: int, rep: np.ndarray, copies: np.ndarray, tile: np.ndarray, x: np.ndarray):
+    def solve(block: int, rep: np.ndarray, copies: np.ndarray, tile: np.ndarray, x: np.ndarray, turned: np.ndarray):
         norm = np.sqrt((x * x).sum(axis=1))
-        unit = x / norm[:, None]
-        y = rotated(unit).astype(np.float32)
+        y = turned.astype(np.float32)
         edges = block_edges(x.shape[1], blocks)
         near = [budget * (b - a) / x.shape[1] + SLACK for a, b in edges]
+        error = [4e-7 * (b - a + 3) for a, b in edges]  # bound for squared distances of parts of unit vectors in single precision
         one = np.ones((len(x), 1), np.float32)
         forth, back = [], []  # their products are squared distances
         for a, b in edges[: block + 1]:
@@ -123,20 +134,24 @@ def _join(blocks: int, cosine: float):
         over = [np.ascontiguousarray(b[right].T) for b in back]
         for at in range(0, len(left), STRIP):
             i = left[at : at + STRIP]
-            found = forth[block][i] @ over[block] <= near[block]
+            found = forth[block][i] @ over[block] <= near[block] + error[block]
             if alone:
                 found &= np.arange(len(right))[None, :] > np.arange(at, at + len(i))[:, None]
             some = np.flatnonzero(found.any(axis=1))
             if not len(some):
                 continue
             i, found = i[some], found[some]
-            for k in range(block):  # an earlier block has this pair
-                found &= forth[k][i] @ over[k] > near[k]
+            for k in range(block):  # an earlier block has this pair for certain
+                found &= forth[k][i] @ over[k] > near[k] - error[k]
             p, q = np.nonzero(found)
             for lo in range(0, len(p), 65536):
                 a, b = i[p[lo : lo + 65536]], right[q[lo : lo + 65536]]
                 good = np.einsum("ij,ij->i", x[a], x[b]) / (norm[a] * norm[b]) >= cosine
                 a, b = a[good], b[good]
+                mine = block_distances(turned, a, b, edges[block]) <= near[block]
+                for k in range(block):
+                    mine &= block_distances(turned, a, b, edges[k]) > near[k]
+                a, b = a[mine], b[mine]
                 links += np.bincount(a, copies[b], len(x)).astype(np.int64) + np.bincount(b, copies[a], len(x)).astype(np.int64)
                 unite(label, a, b)
         hit = np.flatnonzero(links)
@@ -150,7 +165,7 @@ def _join(blocks: int, cosine: float):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "links", "with"])
 
         def close():
-            return solve(key[0], *(np.concatenate([h[k] for h in held]) for k in range(4)))
+            return solve(key[0], *(np.concatenate([h[k] for h in held]) for k in range(5)))
 
         for batch in batches:
             found = []
@@ -161,8 +176,8 @@ def _join(blocks: int, cosine: float):
                     if held:
                         found.append(close())
                     key, held = tuple(keys[lo]), []
-                values = batch.column(7).slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, key[1])
-                held.append((*(batch.column(k).to_numpy()[lo:hi] for k in (4, 5, 6)), values))
+                values = (batch.column(k).slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, key[1]) for k in (7, 8))
+                held.append((*(batch.column(k).to_numpy()[lo:hi] for k in (4, 5, 6)), *values))
             yield out(found)
         if held:
             yield out([close()])
@@ -187,11 +202,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, blocks: int = BL
     placed = settle(leads.join(F.broadcast(borders), ["size", "block"]).select("rep", "size", "block", "lead", tile), "tiles")
     ranges = placed.groupBy("size", "block", "tile").agg(F.min("lead").alias("lo"), F.max("lead").alias("hi"))
     other = ranges.select("size", "block", F.col("tile").alias("with"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    radius = math.sqrt(2 - 2 * cosine) * F.sqrt(F.ceil(F.col("size") / blocks) / F.col("size")) + 1e-3
+    radius = F.sqrt((2 - 2 * cosine) * F.ceil(F.col("size") / blocks) / F.col("size") + SLACK) + 1e-3
     meet = ranges.join(other, ["size", "block"]).where((F.col("lo2") <= F.col("hi") + radius) & (F.col("lo") <= F.col("hi2") + radius)).select("size", "block", "tile", "with")
     keyed = placed.join(F.broadcast(meet), ["size", "block", "tile"])
     keyed = keyed.select("size", "block", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "rep")
-    loaded = keyed.join(points.select("rep", "copies", "vector"), "rep").select("block", "size", "low", "high", "rep", "copies", "tile", "vector")
+    loaded = keyed.join(points.select("rep", "copies", "vector", "turned"), "rep").select("block", "size", "low", "high", "rep", "copies", "tile", "vector", "turned")
     order = ["block", "size", "low", "high"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = settle(loaded.repartition(parts, *order).sortWithinPartitions(*order, "tile", "rep").mapInArrow(_join(blocks, cosine), "rep long, links long, with long"), "links")

@@ -104,6 +104,23 @@ def test_embedding_links_equal_brute_force(spark, tile_rows):
     assert found == brute(vectors, 0.95)
 
 
+def test_embedding_pairs_at_a_block_border_count_once(spark):
+    """Pairs whose distance in block 0 is the border of that block, so that single precision falls on either side of it."""
+    rng, n, near = np.random.default_rng(8), 64, (2 - 2 * 0.95) / 4 + embedding_dedup.SLACK
+    turn, vectors = embedding_dedup.rotation(n), []
+    for k in range(1500):
+        u = rng.normal(size=n)
+        u /= np.sqrt(u @ u)
+        step = rng.normal(size=16)
+        v = u.copy()
+        v[:16] += step * np.sqrt((near + rng.normal() * 1e-8) / (step @ step))
+        v[16:] *= np.sqrt((1 - v[:16] @ v[:16]) / (v[16:] @ v[16:]))
+        vectors += [(2 * k, (turn @ u).tolist()), (2 * k + 1, (turn @ v).tolist())]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    found = got(embedding_dedup.near_duplicates(df, 0.95, tile_rows=700))
+    assert sorted(found) == [(i, 1, i - i % 2) for i in range(3000)]
+
+
 def test_embeddings_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert got(embedding_dedup.near_duplicates(empty)) == []
