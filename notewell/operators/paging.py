@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notewell.session import cut_lineage
+
 SORT_MODES = ("priority", "recent", "budget", "urgency")
 
 
@@ -57,6 +59,21 @@ def sort_opportunities(df: DataFrame, mode: str = "priority", id_col: str = "not
     return df.orderBy(*sort_columns(mode, id_col))
 
 
+def ranked_opportunities(df: DataFrame, mode: str = "priority", id_col: str = "note_id") -> DataFrame:
+    """Every row with ``rank``, its place from 1 in the whole order of ``mode``.
+
+    The rows are sorted by ranges and written once; a rank is the place within its range
+    after the rows of the ranges before it, so no task holds more than a range.
+    """
+    placed = cut_lineage(sort_opportunities(df, mode, id_col).withColumn("__at", F.monotonically_increasing_id()), "sorted-rows")
+    placed = placed.withColumn("__range", F.shiftright("__at", 33))
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = sizes.select(F.col("__range").alias("__later")).join(sizes, F.col("__range") < F.col("__later"), "left")
+    starts = before.groupBy(F.col("__later").alias("__range")).agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__start"))
+    rank = F.col("__start") + F.col("__at") - F.shiftleft("__range", 33) + 1
+    return placed.join(starts, "__range").withColumn("rank", rank).drop("__at", "__range", "__start")
+
+
 def candidate_limit(limit: int) -> int:
     return min(max(limit * 10, 500), 5000)
 

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from notewell.plans import route
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -50,5 +51,24 @@ def test_every_oracle_has_a_query_and_sql_binds(sql):
         sql.execute("EXPLAIN " + text)
 
 
+def test_whole_job_of_sorting_and_query_building(spark):
+    queries, orders = entry.queries(), spark.read.parquet(f"{SF}/orders.parquet").count()
+    ranks = {}
+    for r in queries["sort_ranks"](spark, SF).collect():
+        ranks.setdefault(r["mode"], []).append(r["rank"])
+    assert set(ranks) == {"priority", "recent", "budget", "urgency"}
+    assert all(sorted(found) == list(range(1, orders + 1)) for found in ranks.values())
+    assert queries["build_query_all"](spark, SF).count() == orders
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert queries["product_candidates_all"](spark, SF).agg({"query_id": "max"}).first()[0] >= vectors
+
+
+def test_router_is_trained_with_the_defaults(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(route, "train_router", lambda *a, **b: asked.append((a[1:], b)))
+    entry.queries()["route_ml"](spark, SF)
+    assert asked == [((), {})]
+
+
 def test_entry_returns_rows(spark):
     assert entry.entry(spark).count() > 0

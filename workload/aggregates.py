@@ -603,6 +603,20 @@ def candidate_terms(spark, sf):
     return out.withColumn("tfidf_score", F.round("tfidf_score", 6))
 
 
+@query("candidate_terms_all", f"""
+WITH d AS (SELECT conv_id * 1000 + turn AS id, {_W} AS w FROM conversations),
+g AS (SELECT id, len(w) AS n, unnest(w) AS candidate FROM d UNION ALL
+  SELECT id, len(w), unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) FROM d UNION ALL
+  SELECT id, len(w), unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM d),
+p AS (SELECT id, candidate, count(*) AS tf, max(n) AS n FROM g GROUP BY 1, 2)
+SELECT candidate, CAST(sum(tf) AS BIGINT) AS occurrences, count(*) AS documents,
+  round(avg(tf / n) * (ln(((SELECT count(*) FROM d) + 1e0) / (count(*) + 1)) + 1), 6) AS tfidf_score FROM p GROUP BY 1 HAVING sum(tf) >= 2""")
+def candidate_terms_all(spark, sf):
+    """``candidate_terms`` with the operator's own defaults: runs of up to three words that occur twice."""
+    out = terms.candidate_terms(t.table(spark, sf, "conversations"), "text")
+    return out.withColumn("tfidf_score", F.round("tfidf_score", 6))
+
+
 @query("coverage", f"""
 WITH r AS (SELECT *, CASE WHEN p_size % 2 = 0 THEN p_size END AS budget FROM ({t.PART_TAGS_SQL}))
 SELECT count(*) AS total, round(count(budget) / count(*) * 100, 1) AS budget_pct, round(count_if(p_type <> 'SMALL') / count(*) * 100, 1) AS status_pct,

@@ -10,8 +10,9 @@ from notewell import fixed_values as fv
 from notewell.functions import lists, scalars
 from notewell.operators import dedup, filters, paging
 from notewell.plans import board
+from notewell.session import cut_lineage
 from workload import tables as t
-from workload.registry import any_contains, query
+from workload.registry import any_contains, lit, query
 
 _TS = """strftime("timestamp", '%Y-%m-%d %H:%M:%S')"""
 
@@ -230,6 +231,22 @@ def sort_modes(spark, sf):
     )
 
 
+def _ranked_sql(mode: str, order: str) -> str:
+    return f"SELECT {lit(mode)} AS mode, id AS note_id, row_number() OVER (ORDER BY {order}, id) AS rank FROM ({t.BOARD_SQL})"
+
+
+@query("sort_ranks", " UNION ALL ".join(_ranked_sql(mode, order) for mode, order in {
+    "priority": "priority_score DESC", "recent": '"timestamp" DESC NULLS LAST', "budget": "coalesce(budget_value, 0) DESC", "urgency": "urgency_level DESC, priority_score DESC"}.items()))
+def sort_ranks(spark, sf):
+    """``sort_modes`` over the whole order: every row of every mode."""
+    rows = board.opportunity_rows(t.order_notes(spark, sf), t.users(spark, sf), t.clients(spark, sf), t.order_actions(spark, sf))
+    rows = rows.select(F.col("id").alias("note_id"), "priority_score", "timestamp", "budget_value", "urgency_level")
+    rows = cut_lineage(rows, "opportunities")
+    return dedup.union_notes(
+        [paging.ranked_opportunities(rows, m).select(F.lit(m).alias("mode"), "note_id", "rank") for m in paging.SORT_MODES]
+    )
+
+
 @query("candidate_pool", "SELECT o_orderkey AS id FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 600")
 def candidate_pool(spark, sf):
     return paging.recent_candidates(t.order_notes(spark, sf), 60).select("id")

@@ -209,7 +209,7 @@ def router_training_set(spark, sf):
 def route_ml(spark, sf):
     texts = t.order_texts(spark, sf).select("id", "text")
     routed = route.route(texts, thresholds=(20, 60)).select("text", F.col("tier").alias("label"))
-    router = route.train_router(routed, trees=20, folds=3)
+    router = route.train_router(routed)
     return route.route_ml(texts, router).groupBy("tier", "priority").agg(F.count("*").alias("n"), F.round(F.min("model_confidence"), 2).alias("least_confidence"))
 
 

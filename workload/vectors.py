@@ -68,27 +68,54 @@ _NEEDS = f"SELECT vec_id AS id, o_orderstatus, o_orderpriority, CAST(floor(o_tot
 _COLOR = "CASE o_orderpriority WHEN '1-URGENT' THEN 'red' WHEN '2-HIGH' THEN 'blue' ELSE '' END"
 
 
-def _frames(spark, sf):
+# in the queries named _all every part and order counts; vectors go round: the one with the number modulo their count
+
+_ROUND = f"({_E}) JOIN {{0}} ON vec_id = {{1}} % (SELECT count(*) FROM embeddings)"
+_ALL_GOODS = f"SELECT p_partkey AS item_id, p_name AS name, p_retailprice AS price, p_name || ' ' || p_type AS text, e FROM {_ROUND.format('part', 'p_partkey')}"
+_NEED = "SELECT o_orderkey AS id, o_orderstatus, o_orderpriority, CAST(floor(o_totalprice / 500) + 400 AS BIGINT) AS budget"
+_ALL_NEEDS = f"{_NEED}, e FROM {_ROUND.format('orders', 'o_orderkey')}"
+
+
+def _frames(spark, sf, every=False):
     v, part, orders = _vectors(spark, sf), t.table(spark, sf, "part"), t.table(spark, sf, "orders")
-    goods = v.join(part, v.vec_id == part.p_partkey).select(
-        F.col("vec_id").alias("item_id"), F.col("vec_id").cast("string").alias("sku"), F.col("p_name").alias("name"), F.col("p_type").alias("category"),
+    count = F.lit(max(v.count(), 1)) if every else None
+
+    def number(key):
+        return key % count if every else key
+
+    goods = v.join(part, v.vec_id == number(part.p_partkey)).select(
+        F.col("p_partkey").alias("item_id"), F.col("p_partkey").cast("string").alias("sku"), F.col("p_name").alias("name"), F.col("p_type").alias("category"),
         F.col("p_retailprice").alias("price"), F.concat_ws(" ", "p_name", "p_type").alias("text"), (F.col("p_size") % 10).alias("stock"), "embedding",
     )
+    return match.build_query(_needs(v.join(orders, v.vec_id == number(orders.o_orderkey)), "embedding")), goods
+
+
+def _needs(orders, *more):
     color = F.when(F.col("o_orderpriority") == "1-URGENT", "red").when(F.col("o_orderpriority") == "2-HIGH", "blue")
     none = F.array().cast("array<string>")
-    needs = v.join(orders, v.vec_id == orders.o_orderkey).select(
-        F.col("vec_id").alias("id"), F.lit("a bag").alias("text"), "embedding", F.array_compact(F.array(color)).alias("colors"),
+    return orders.select(
+        F.col("o_orderkey").alias("id"), F.lit("a bag").alias("text"), *more, F.array_compact(F.array(color)).alias("colors"),
         F.when(F.col("o_orderstatus") == "F", F.array(F.lit("widget"))).otherwise(none).alias("produits_mentionnes"), none.alias("categories"),
         (F.floor(F.col("o_totalprice") / 500) + 400).alias("budget_specific"), F.lit(None).cast("string").alias("budget_potential"),
     )
-    return match.build_query(needs), goods
 
 
-@query("build_query", f"""
+_QUERY = f"""
 SELECT id, concat_ws(' ', CASE WHEN o_orderstatus = 'F' THEN 'widget' END, nullif({_COLOR}, ''), 'sac') AS primary_query, 'bags' AS category_filter, {_COLOR} AS color_filter,
-  budget * 0.75e0 AS price_low, budget * 1.25e0 AS price_high, concat_ws(',', CASE WHEN o_orderstatus = 'F' THEN 'widget' END, 'sac', 'iconique', 'maroquinerie') AS boost_keywords, 'bags' AS intents FROM ({_NEEDS})""")
+  budget * 0.75e0 AS price_low, budget * 1.25e0 AS price_high, concat_ws(',', CASE WHEN o_orderstatus = 'F' THEN 'widget' END, 'sac', 'iconique', 'maroquinerie') AS boost_keywords, 'bags' AS intents FROM """
+
+
+@query("build_query", f"{_QUERY}({_NEEDS})")
 def build_query(spark, sf):
-    q, _ = _frames(spark, sf)
+    return _query_rows(_frames(spark, sf)[0])
+
+
+@query("build_query_all", f"{_QUERY}({_NEED} FROM orders)")
+def build_query_all(spark, sf):
+    return _query_rows(match.build_query(_needs(t.table(spark, sf, "orders"))))
+
+
+def _query_rows(q):
     return q.select("id", "primary_query", "category_filter", F.array_join("color_filter", ",").alias("color_filter"), "price_low", "price_high",
                     F.array_join("boost_keywords", ",").alias("boost_keywords"), F.array_join("intents", ",").alias("intents"))
 
@@ -102,16 +129,26 @@ _ADJ = f"""least(1e0, greatest(0e0, s + CASE WHEN {any_contains('lower(text)', f
   + CASE WHEN color <> '' AND contains(lower(text), color) THEN 0.06e0 ELSE 0 END + CASE WHEN contains(lower(text), 'sac') OR (o_orderstatus = 'F' AND contains(lower(text), 'widget')) THEN 0.06e0 ELSE 0 END))"""
 
 
-@query("product_candidates", f"""
-WITH c AS (SELECT n.id, g.item_id, g.text, {_COLOR} AS color, n.o_orderstatus, list_cosine_similarity(n.e, g.e) AS s FROM ({_NEEDS}) n, ({_GOODS}) g WHERE {_OK}),
+def _candidates_sql(needs: str, goods: str) -> str:
+    return f"""
+WITH c AS (SELECT n.id, g.item_id, g.text, {_COLOR} AS color, n.o_orderstatus, list_cosine_similarity(n.e, g.e) AS s FROM ({needs}) n, ({goods}) g WHERE {_OK}),
 short AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, item_id) AS r FROM c) WHERE r <= 18),
 adj AS (SELECT *, {_ADJ} AS a FROM short)
-SELECT query_id, item_id, match_score FROM (SELECT id AS query_id, item_id, round(a, 2) AS match_score, row_number() OVER (PARTITION BY id ORDER BY round(a, 2) DESC, s DESC, item_id) AS rr FROM adj WHERE a >= 0.2) WHERE rr <= 3""")
+SELECT query_id, item_id, match_score FROM (SELECT id AS query_id, item_id, round(a, 2) AS match_score, row_number() OVER (PARTITION BY id ORDER BY round(a, 2) DESC, s DESC, item_id) AS rr FROM adj WHERE a >= 0.2) WHERE rr <= 3"""
+
+
+@query("product_candidates", _candidates_sql(_NEEDS, _GOODS))
 def product_candidates(spark, sf):
     q, goods = _frames(spark, sf)
     return match.match_products(q, goods, 3, 0.2).select("query_id", "item_id", "match_score")
 
 
+@query("product_candidates_all", _candidates_sql(_ALL_NEEDS, _ALL_GOODS))
+def product_candidates_all(spark, sf):
+    q, goods = _frames(spark, sf, every=True)
+    return match.match_products(q, goods, 3, 0.2).select("query_id", "item_id", "match_score")
+
+
 @query("rerank", f"""
 SELECT p_partkey, round(least(1e0, greatest(0e0, p_size / 50e0 + CASE WHEN contains(p_name, 'red') THEN 0.06e0 ELSE 0 END + CASE WHEN contains(p_name, 'ring') THEN 0.06e0 ELSE 0 END
   + CASE WHEN {any_contains("lower(p_name || ' pant')", fv.APPAREL_TERMS)} THEN -0.3e0 + 0.08e0 ELSE 0 END)), 6) AS score FROM part""")
