@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("queries",)
+MODULES = ("queries", "search_queries")
 
 
 def query(name: str, sql: str | None = None):

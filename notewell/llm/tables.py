@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 
 BATCH_BYTES = 4 << 20
+HOT = 4096
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -35,6 +36,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_hot(rows: DataFrame, values: DataFrame, times: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``values`` (a row per ``key``), whatever share of ``rows`` a key has.
+
+    ``times`` says how many ``rows`` each key has. Keys with over 1/HOT of them, so fewer than HOT, meet a broadcast table; the others are shuffled.
+    """
+    limit = (times.agg(F.sum("times")).first()[0] or 0) / HOT
+    hot = settle(times.where(F.col("times") > limit).select(key, F.lit(True).alias("hot")), "hot")
+    flagged = rows.join(F.broadcast(hot), key, "left")
+    often = values.join(F.broadcast(hot), key).drop("hot")
+    return flagged.where("hot").drop("hot").join(F.broadcast(often), key).unionByName(flagged.where("hot IS NULL").drop("hot").join(values, key))
+
+
 def keyed_texts(docs: DataFrame, *more: str) -> DataFrame:
     """Only ``doc_id``, ``text`` and ``more``, whatever else the input carries under any name."""
     return docs.select("doc_id", "text", *more)
