@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notewell.llm import words
-from notewell.llm.tables import bounded_batches, bundled, unbundled
+from notewell.llm.tables import bounded_batches, bundled, settle, unbundled
 
 WINDOW = 10  # words of a phrase; a shorter item is one phrase
 BLOCK_BYTES = 4 << 20  # text of the items that are searched in one pass
@@ -37,7 +37,8 @@ class FmIndex:
     """Index of a symbol sequence (int array, symbols from 0)."""
 
     def __init__(self, text: np.ndarray, sigma: int):
-        self.text = np.append(text, 0)  # the end counts as one more separator
+        self.text = np.append(np.asarray(text) + 1, 0)  # the end is a symbol of its own, below all others
+        sigma += 1
         n = len(self.text)
         rank, reach = self.text.astype(np.int64), 1
         while True:
@@ -86,7 +87,7 @@ class FmIndex:
         lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), len(self.text), np.int64)
         for k in range(patterns.shape[1]):
             more = lengths[which] > k
-            c = patterns[which, -1 - k]
+            c = patterns[which, -1 - k] + 1
             lo = np.where(more, self.before[c] + self.ranks(c, lo), lo)
             hi = np.where(more, self.before[c] + self.ranks(c, hi), hi)
             live = hi > lo
@@ -106,7 +107,7 @@ class FmIndex:
             c = self.symbol_at(i)
             i = self.before[c] + self.ranks(c, i)
             steps += 1
-        return out % len(self.text)
+        return out
 
 
 class Phrases:
@@ -204,6 +205,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else items
         phrases = Phrases([(r["item_id"], r["text"]) for r in part.collect()], window)  # about block_bytes
         out = out.mapInArrow(_search(phrases, block > 0), schema)
+        if block + 1 < blocks:
+            out = settle(out, "hits")  # so that the next block finds the phrases of this one gone from the plan
     return out
 
 
