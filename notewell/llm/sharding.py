@@ -28,11 +28,16 @@ MAP_SCHEMA = "version int, virtual_slot int, shard int, n_bytes long, n_rows lon
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """``doc_id``, ``size`` (UTF-8 bytes plus 1), ``text_crc32`` and ``virtual_slot``.
 
-    The slot follows from id and text checksum, so that rows with the same or no id spread.
+    The slot follows from id, text checksum and a row's number among its repeats in one input
+    partition. So rows with the same or no id spread, repeats of one row spread too, and the slot of a row
+    that occurs once depends on the row alone.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     out = keyed_texts(docs).select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    return out.withColumn("virtual_slot", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text_crc32"), F.lit(slots)).cast("int"))
+    repeats = Window.partitionBy("doc_id", "text_crc32", "size", "part").orderBy("part")  # rows of one input partition at most
+    numbered = out.withColumn("part", F.spark_partition_id()).withColumn("copy", F.row_number().over(repeats))
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text_crc32", "copy"), F.lit(slots)).cast("int")
+    return numbered.withColumn("virtual_slot", slot).drop("part", "copy")
 
 
 def slot_sizes(rows: DataFrame) -> DataFrame:
