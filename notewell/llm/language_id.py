@@ -15,6 +15,10 @@ and the result is that of the plain recursion.
 Defined results: a null text or one without letters is ``und`` with score 0; ties go to the
 label that sorts first; with no labelled rows every text is ``und``; null labels are not
 learned from; repeated rows are labelled each; other columns are ignored.
+
+Shares of known labels sum to 1 for any text, also for one in a language that was never learned.
+``keep`` therefore asks for evidence: the share of a text's trigrams, word by word, that the learned
+texts hold (a set of 2**24 bits, exact).
 """
 
 from __future__ import annotations
@@ -45,7 +49,7 @@ def _row(h: np.ndarray) -> np.ndarray:
 
 
 def features(data: np.ndarray, at: np.ndarray):
-    """Byte ranges of the words in the texts, their lexicon and affix rows, the trigram row of each byte and the words' ranges in those, and each text's first word."""
+    """Byte ranges of the words in the texts, their lexicon and affix rows, the trigram of each byte and the words' ranges in those, and each text's first word."""
     n = len(at) - 1
     place = np.arange(len(data)) + np.repeat(np.arange(1, n + 1), np.diff(at))
     low = np.full(len(data) + n + 2, 0x20, np.uint8)  # a space between texts, so that no trigram sees two texts
@@ -57,16 +61,20 @@ def features(data: np.ndarray, at: np.ndarray):
     rows[:, 1] = _row(words.mix(words.range_hash(prefix, starts, np.minimum(starts + 3, ends)), 1))
     rows[:, 2] = _row(words.mix(words.range_hash(prefix, np.maximum(ends - 3, starts), ends), 2))
     wide = low.astype(np.uint32)
-    gram = ((wide[:-2] << np.uint32(16) | wide[1:-1] << np.uint32(8) | wide[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+    gram = wide[:-2] << np.uint32(16) | wide[1:-1] << np.uint32(8) | wide[2:]
     first = np.searchsorted(starts, at + np.arange(n + 1))
     shift = np.repeat(np.arange(1, n + 1), np.diff(first))
-    return starts - shift, ends - shift, rows, gram.astype(np.int32), starts - 1, ends - 1, first
+    return starts - shift, ends - shift, rows, gram, starts - 1, ends - 1, first
+
+
+def gram_rows(gram: np.ndarray) -> np.ndarray:
+    return ((gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int32)
 
 
 def emissions(weights: np.ndarray, rows: np.ndarray, gram: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = weights[rows].sum(axis=1, dtype=np.float64)
     total = np.zeros((len(gram) + 1, weights.shape[1]))
-    np.cumsum(weights[gram], axis=0, dtype=np.float64, out=total[1:])
+    np.cumsum(weights[gram_rows(gram)], axis=0, dtype=np.float64, out=total[1:])
     return out + (total[b] - total[a]) * (GRAMS / (b - a))[:, None]
 
 
@@ -169,9 +177,12 @@ def train(labels: list[str]):
                 text_range += [(n + first[k], n + first[k + 1]) for k in full]
                 n, at_gram = n + len(rows), at_gram + len(gram)
         size = len(labels)
+        seen_grams = np.zeros(1 << 24, bool)
         weights, change = np.zeros((1 << BITS, size), np.float32), np.zeros((size, size))
         if text_range and size:
             rows, gram, a, b = np.concatenate(rows_of), np.concatenate(grams), np.concatenate(a_of), np.concatenate(b_of)
+            seen_grams[gram[words.runs(b - a) + np.repeat(a, b - a)]] = True
+            gram = gram_rows(gram)
             del rows_of, grams, a_of, b_of
             text_label = np.array(text_label, int)
             of = [np.flatnonzero(text_label == k) for k in range(size)]
@@ -206,7 +217,7 @@ def train(labels: list[str]):
                 pairs = pairs / BATCH + 1e-4 * change
                 square_change += pairs * pairs
                 change -= RATE * pairs / np.sqrt(square_change)
-        return pickle.dumps({"labels": labels, "weights": weights.tobytes(), "change": change})
+        return pickle.dumps({"labels": labels, "weights": weights.tobytes(), "change": change, "grams": np.packbits(seen_grams).tobytes()})
 
     return run
 
@@ -219,6 +230,22 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> bytes:
     return labelled.fit(labelled.sample(docs, known.select("doc_id", number.alias("label")), limit, len(names)), train(names))
 
 
+def known_grams(model: bytes) -> np.ndarray:
+    """Flags of all trigrams, set for those of the learned texts."""
+    return np.unpackbits(np.frombuffer(pickle.loads(model)["grams"], np.uint8)).view(bool)
+
+
+def evidence(grams: np.ndarray, column: pa.Array) -> np.ndarray:
+    """The mean share of known trigrams over the words of each text; 0 without words."""
+    out = np.zeros(len(column))
+    for lo, hi, data, at in words.chunks(column):
+        _, _, _, gram, a, b, first = features(data, at)
+        seen = np.concatenate(([0], np.cumsum(grams[gram])))
+        share = np.concatenate(([0.0], np.cumsum((seen[b] - seen[a]) / (b - a))))
+        out[lo:hi] = (share[first[1:]] - share[first[:-1]]) / np.maximum(1, np.diff(first))
+    return out
+
+
 def unpack(model: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
     known = pickle.loads(model)
     return known["labels"], np.frombuffer(known["weights"], np.float32).reshape(1 << BITS, len(known["labels"])) if known["labels"] else None, known["change"]
@@ -259,14 +286,14 @@ def predict(docs: DataFrame, model: bytes) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: bytes, least: float) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is known with a share of at least ``least``."""
+    """The rows of ``docs``, with all their columns, that have a language and, of their trigrams, at least the share ``least`` in common with the learned texts."""
     text = docs.columns.index("text")
 
     def run(batches):
-        known = unpack(model)
+        known, grams = unpack(model), known_grams(model)
         for batch in batches:
-            best, score = _labelled(*known, batch.column(text))
-            good = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False) & (best >= 0) & (score >= least)
+            best, _ = _labelled(*known, batch.column(text))
+            good = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False) & (best >= 0) & (evidence(grams, batch.column(text)) >= least)
             yield batch.filter(pa.array(good)).select(list(range(batch.num_columns - 1)))
 
     return _with_letters(docs).mapInArrow(run, docs.schema)

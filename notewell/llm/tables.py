@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,12 @@ HOT = 4096
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; below the warehouse where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    """A fresh folder below ``spark.checkpoint.dir``; in local mode below the warehouse where that is unset (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -25,10 +30,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_bytes(size: str) -> int:
+    """Bytes of a size as Spark's settings state it, such as ``64m``."""
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", size.strip().lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}[unit[:1]]
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of a few MB: rows with long texts or sets would otherwise make a Python worker's batch very large."""
     limit = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(limit, "67108864b").rstrip("b")) > BATCH_BYTES:
+    if in_bytes(spark.conf.get(limit, "64m")) > BATCH_BYTES:
         spark.conf.set(limit, str(BATCH_BYTES))
 
 

@@ -1,11 +1,14 @@
 """Fitted operators: accuracy on rows not learned from, and defined results for odd rows."""
 
 import os
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
+import corpus_pipeline
 from notewell.llm import language_id, quality_model, toxicity
 from tests.llm.conftest import got, odd_rows
 
@@ -113,3 +116,30 @@ def test_spans_of_mixed_text(spark):
     for r in rows:
         share[r["lang"]] = share.get(r["lang"], 0) + r["end"] - r["start"]
     assert share["en"] > 300 and share["de"] > 300
+
+
+@needs_tables
+def test_language_gate_closes_on_junk_and_foreign_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit(docs, docs.selectExpr("doc_id", "lang AS label"))
+    junk = ["qzx wvk jjq zzq xqj", "Это русское предложение о погоде", "これは日本語です", "asdf asdf asdf", "xk9 0x33ff deadbeef aGVsbG8gd29ybGQ=", "1234", None]
+    short = [r["text"][:n].rsplit(" ", 1)[0] for n in (20, 40, 120) for r in docs.where("n_chars > 200 AND text RLIKE '^[A-Za-z ]{120}'").orderBy("doc_id").limit(20).collect()]
+    rows = spark.createDataFrame(list(enumerate(junk + short)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in language_id.keep(rows, model, corpus_pipeline.LEAST_KNOWN).collect()}
+    assert kept == set(range(len(junk), len(junk) + len(short)))
+    assert language_id.keep(docs, model, corpus_pipeline.LEAST_KNOWN).count() == docs.count()
+
+
+def test_evidence_equals_brute_force(odd, spark):
+    model = language_id.fit(odd, odd.selectExpr("doc_id", "lang AS label").where("doc_id < 20"))
+    grams = language_id.known_grams(model)
+    letter = re.compile(rb"[A-Za-z\x80-\xff]+")
+
+    def triples(text):
+        return [[b" " + w + b" " for w in [m.lower()]][0] for m in letter.findall((text or "").encode())]
+
+    texts = [r[1] for r in odd_rows()]
+    found = language_id.evidence(grams, pa.array(texts, pa.string()))
+    for text, share in zip(texts, found, strict=True):
+        of_words = [np.mean([grams[int.from_bytes(w[k : k + 3], "big")] for k in range(len(w) - 2)]) for w in triples(text)]
+        assert abs(share - (np.mean(of_words) if of_words else 0.0)) < 1e-9

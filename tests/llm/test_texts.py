@@ -12,8 +12,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from notewell.llm import decontamination, near_dedup, packing, sharding, suffix_dedup, words
 from notewell.llm.suffix_array import suffix_arrays
+from notewell.llm.tables import BATCH_BYTES, bounded_batches, in_bytes
 from tests.llm.conftest import got, odd_rows, sentence
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -280,3 +282,56 @@ def test_slot_maps_balance_bytes():
         assert slot == same and b in (a, 8)
         after[b] += n_bytes
     assert max(after.values()) - min(after.values()) <= 2000
+
+
+def test_copies_of_a_row_spread_over_shards(spark):
+    """One row 3,000 times among 9,000: shards stay near equal."""
+    rng = random.Random(2)
+    docs = [(5, "x" * 300)] * 3000 + [(100 + k, "y" * rng.randint(1, 400)) for k in range(6000)]
+    load = Counter()
+    for r in sharding.shard(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), 8).collect():
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) - min(load.values()) < 0.02 * sum(load.values()) / 8
+
+
+@pytest.mark.parametrize(("size", "bytes_"), [("67108864b", 64 << 20), ("64m", 64 << 20), ("64MB", 64 << 20), ("1g", 1 << 30), ("500", 500), ("2kb", 2048)])
+def test_sizes_of_settings(size, bytes_):
+    assert in_bytes(size) == bytes_
+
+
+def test_batches_are_bounded_whatever_the_unit(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(limit)
+    try:
+        for given_size in ("64m", "1g", "67108864b"):
+            spark.conf.set(limit, given_size)
+            bounded_batches(spark)
+            assert in_bytes(spark.conf.get(limit)) == BATCH_BYTES
+    finally:
+        spark.conf.set(limit, old)
+
+
+def test_long_document_is_searched_whole(spark):
+    rng = random.Random(12)
+    item = sentence(rng, 30)
+    text = " ".join(sentence(rng, 4000) + " " + item for _ in range(20))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = decontamination.hits(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).first()
+    assert (row["n_words"], sum(b - a for a, b in zip(row["hit_from"], row["hit_to"], strict=True)), row["items"]) == brute_hits(text, [(7, item)])
+
+
+def test_pipeline_cuts_passages_of_51_to_60_words(spark):
+    """Passages of over 50 words of everyday length in two documents each are gone from both; the other words stay."""
+    rng = random.Random(20)
+    made, docs = [], []
+    for k in range(120):
+        passage = sentence(rng, 51 + k % 10, "aeinorstlu")
+        made.append(passage)
+        docs += [(2 * k + side, f"{sentence(rng, rng.randint(5, 80))} {passage} {sentence(rng, rng.randint(5, 80))}", "en", "s", 0) for side in (0, 1)]
+    docs += [(1000 + k, sentence(rng, rng.randint(1, 200)), "en", "s", 0) for k in range(100)]
+    before = {d[0]: d[1] for d in docs}
+    after = dict(got(corpus_pipeline.without_repeats(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int"), "").select("doc_id", "text")))
+    caught = [all(p not in after[2 * k + side] and len(before[2 * k + side]) - len(after[2 * k + side]) >= len(p) for side in (0, 1)) for k, p in enumerate(made)]
+    assert all(caught)
+    assert all(after[d] == before[d] for d in before if d >= 1000)
+    assert all(len(before[d]) - len(after[d]) <= len(made[d // 2]) + 8 for d in before if d < 1000)
