@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from notewell import fixed_values as fv
 from notewell.functions import vectors as vec
-from notewell.operators import vectors
+from notewell.operators import vector_index, vectors
 from notewell.plans import catalog as match
 from workload import tables as t
 from workload.registry import any_contains, lit, query
@@ -50,6 +50,39 @@ def hybrid_search(spark, sf):
     return vectors.hybrid_search(v, v, [("label", "$in", [1, 3, 5]), ("label", "$ne", 3)], 3, block_rows=64)  # many blocks
 
 
+# vectors with structure: each is moved along the axis of its label, so that labels form clusters
+_C = "SELECT vec_id, label, list_transform(e, lambda x, i: x + CASE WHEN i = label + 1 THEN 20 ELSE 0 END) AS e FROM (" + _E + ")"
+_CLUSTER_PAIRS = f"SELECT a.vec_id AS query_id, b.vec_id AS item_id, b.label AS il, list_cosine_similarity(a.e, b.e) AS s FROM ({_C}) a, ({_C}) b"
+_PRUNED = {"cell_rows": 128, "block_rows": 512}
+
+
+def _clustered(spark, sf):
+    moved = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x + F.when(i == F.col("label"), 20).otherwise(0))
+    return _vectors(spark, sf).withColumn("embedding", moved)
+
+
+@query("knn_pruned", f"""
+SELECT query_id, item_id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM ({_CLUSTER_PAIRS}) WHERE query_id <> item_id) WHERE rank <= 5""")
+def knn_pruned(spark, sf):
+    v = _clustered(spark, sf)
+    return vector_index.knn(v, v, 5, skip_same=True, **_PRUNED).withColumn("score", F.round("score", 6))
+
+
+@query("knn_pruned_work")
+def knn_pruned_work(spark, sf):
+    """Per round how many groups were visited and how many pairs were scored, and all pairs there are."""
+    v = _clustered(spark, sf)
+    found = vector_index.search(vector_index.build(v, cell_rows=_PRUNED["cell_rows"]), v, 5, skip_same=True)
+    return found.visits.groupBy("round").agg(F.count("*").alias("visits"), F.sum("items").alias("scored_pairs"), F.lit(v.count() ** 2).alias("all_pairs"))
+
+
+@query("hybrid_search_pruned", f"""
+SELECT query_id, item_id, round(s, 4) AS score, round(1 - s, 4) AS distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM ({_CLUSTER_PAIRS}) WHERE il IN (1, 3, 5) AND il <> 3) WHERE rank <= 3""")
+def hybrid_search_pruned(spark, sf):
+    v = _clustered(spark, sf)
+    return vectors.hybrid_search(v, v, [("label", "$in", [1, 3, 5]), ("label", "$ne", 3)], 3, vector_index.knn, **_PRUNED)
+
+
 @query("semantic_reuse", f"""
 SELECT vec_id AS id, vec_id AS match_id, 1e0 AS score, 'exact' AS kind FROM embeddings WHERE label = 0 UNION ALL
 SELECT query_id, item_id, round(s, 6), 'similar' FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM ({_PAIRS}) WHERE ql = il AND query_id <> item_id AND ql <> 0) WHERE rank = 1 AND s >= 0.3""")
