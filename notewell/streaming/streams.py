@@ -7,18 +7,27 @@ the driver; checkpoints live in the shared folder of the session.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import sys
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from notewell.functions import packs, scalars, text
 from notewell.functions.packs import RulePack
 from notewell.operators import quality
 from notewell.plans import extract, route
-from notewell.session import shared_folder
+from notewell.session import cut_lineage, shared_folder
 from notewell.sources import writers
+from notewell.sources.keyed_store import KeyedTable, replacing
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def note_stream(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet", files_per_trigger: int | None = None,
@@ -37,19 +46,18 @@ def enrich_stream(notes: DataFrame, text_col: str = "text", lang: str = "lang",
     return route.route(extract.extract_note(cleaned, "cleaned", pack), "cleaned")
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, name: str, mode: str = "append", progress: list[dict] | None = None) -> DataFrame:
     """Process everything that is available and return the sink table.
 
-    Append results go to a file sink. Complete results replace the table of the previous
-    batch: each batch writes its own folder and the newest one is read.
+    Append results go to a file sink. Complete results, for tables that are small by
+    their nature, replace the table of the previous batch. ``progress`` receives what Spark reports of each batch.
     """
     spark = stream.sparkSession
     out = shared_folder(spark, name)
     checkpoint = shared_folder(spark, f"{name}-checkpoint")
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
-        query = writer.outputMode("append").format("parquet").start(out)
-        query.awaitTermination()
+        _finish(writer.outputMode("append").format("parquet").start(out), progress)
         return spark.read.schema(stream.schema).parquet(out)
     newest: list[int] = []
 
@@ -57,36 +65,75 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         newest.append(batch_id)
 
-    query = writer.outputMode(mode).foreachBatch(save).start()
-    query.awaitTermination()
+    _finish(writer.outputMode(mode).foreachBatch(save).start(), progress)
     if not newest:
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{out}/batch={max(newest)}")
 
 
+def _finish(query: StreamingQuery, progress: list[dict] | None) -> None:
+    query.awaitTermination()
+    if progress is not None:
+        progress += [json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress]
+
+
+def run_merged(stream: DataFrame, name: str, keys: Sequence[str], gone: Column | None = None, mode: str = "update",
+               buckets: int = 16, progress: list[dict] | None = None) -> KeyedTable:
+    """Process everything that is available into a keyed table: each batch brings only the rows that changed.
+
+    A batch that is run again changes nothing (the table knows the last batch), so the sink is
+    exactly-once. Rows for which ``gone`` holds leave the table.
+    """
+    spark = stream.sparkSession
+    root = shared_folder(spark, name)
+    table = KeyedTable.create(spark.createDataFrame([], stream.schema), root, keys, buckets)
+    query = (
+        stream.writeStream.option("checkpointLocation", shared_folder(spark, f"{name}-checkpoint")).trigger(availableNow=True)
+        .outputMode(mode).foreachBatch(merge_batch(table, gone)).start()
+    )
+    _finish(query, progress)
+    table.expire()
+    return table
+
+
+def merge_batch(table: KeyedTable, gone: Column | None = None) -> Callable[[DataFrame, int], None]:
+    def save(batch: DataFrame, batch_id: int) -> None:
+        table.merge(batch, replacing(table.keys, gone), batch_id)
+
+    return save
+
+
 def warehouse_sink(stream: DataFrame, warehouse: str, quarantine: str, checkpoint: str,
                    rules: Callable[[], dict[str, Column]], to_rows: Callable[[DataFrame], DataFrame] = writers.to_warehouse,
                    bad_columns: dict[str, str] | None = None) -> StreamingQuery:
     """Good rows to the warehouse, rows that break a rule to quarantine.
 
-    The batch is written once to a staging table that both outputs read, and the outputs of
-    a batch go to their own ``batch_id`` so that a retried batch replaces itself.
+    The checked batch is written once to a staging table that both outputs read. Both write below their
+    day's folder and, there, below the batch's, so that a retried batch replaces itself.
     """
     names = bad_columns or {"id": "note_id", "original_text": "note_text"}
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        good, bad = quality.split_valid(batch, rules())
+        staged = cut_lineage(batch, "staged")
+        good, bad = quality.split_valid(staged, rules())
         for old, new in names.items():
             bad = bad.withColumnRenamed(old, new)
-        rows = to_rows(good).withColumn("date", F.to_date("timestamp"))
-        rows.write.mode("overwrite").partitionBy("date").parquet(f"{warehouse}/batch_id={batch_id}")
-        writers.quarantine_rows(bad.drop("timestamp")).write.mode("overwrite").json(f"{quarantine}/batch_id={batch_id}")
+        day = F.to_date("timestamp")
+        rows = to_rows(good).withColumn("date", day).withColumn("batch_id", F.lit(batch_id))
+        dynamic = {"partitionOverwriteMode": "dynamic"}  # only the folders of this batch are replaced
+        rows.write.mode("overwrite").options(**dynamic).partitionBy("date", "batch_id").parquet(warehouse)
+        lost = writers.quarantine_rows(bad).withColumn("date", F.to_date(F.col("timestamp").cast("timestamp"))).withColumn("batch_id", F.lit(batch_id))
+        lost.write.mode("overwrite").options(**dynamic).partitionBy("date", "batch_id").json(quarantine)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
 
 
 def step_metrics(events: DataFrame, window: str = "1 day", delay: str = "1 day", profile: str | None = "profile") -> DataFrame:
-    """Count and mean value per step (and profile) in tumbling windows with a watermark."""
+    """Count and mean value per step (and profile) in tumbling windows.
+
+    In append mode a window is emitted, and its state ends, when the watermark (the newest event time of earlier
+    batches less ``delay``) has passed its end; events of windows that ended before are late and left out.
+    """
     keys = [F.window("ts", window).alias("window"), scalars.norm_step(F.col("step")).alias("step")]
     if profile:
         keys.append(F.col(profile))
@@ -114,7 +161,7 @@ def newest_alerts(alerts: DataFrame, n: int = 30, ts: str = "ts", id_col: str =
 
 
 def progress(events: DataFrame, task: str = "task_id") -> DataFrame:
-    """Processed notes and latest status per task."""
+    """Processed notes and latest status per task; in update mode a batch brings the tasks that changed."""
     step = scalars.norm_step(F.col("step"))
     return events.groupBy(task).agg(
         F.count_if(step == "done").alias("processed"),
@@ -124,19 +171,63 @@ def progress(events: DataFrame, task: str = "task_id") -> DataFrame:
     ).withColumn("status", F.col("__last.step")).drop("__last")
 
 
-def leaderboard_stream(points: DataFrame, n: int = 5, user: str = "user_id", value: str = "points") -> DataFrame:
-    """Running points, best ``n`` at each trigger (complete mode)."""
-    return points.groupBy(user).agg(F.sum(value).alias("score")).orderBy(F.col("score").desc(), F.col(user)).limit(n)
+def scores_stream(points: DataFrame, user: str = "user_id", value: str = "points") -> DataFrame:
+    """Running points per user; in update mode a batch brings the users whose points changed."""
+    return points.groupBy(user).agg(F.sum(value).alias("score"))
+
+
+def leaderboard(scores: DataFrame, n: int = 5, user: str = "user_id") -> DataFrame:
+    """The best ``n`` of the scores kept so far."""
+    return scores.orderBy(F.col("score").desc(), F.col(user)).limit(n)
 
 
 def dedup_stream(notes: DataFrame, ttl: str = "24 hours", text_col: str = "text", ts: str = "ts", step: str = "note") -> DataFrame:
-    """First note of every normalised text within the time to live."""
+    """First note of every normalised text within the time to live; a text's state ends when the watermark passes it."""
     keyed = notes.withColumn("text_key", scalars.text_key(F.col(text_col), step))
     return keyed.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(["text_key"])
 
 
-def client_state_stream(notes: DataFrame, client: str = "client_id", score: str = "sentiment_score", ts: str = "ts") -> DataFrame:
-    """Running sentiment, interaction count and last contact per client."""
-    return notes.groupBy(client).agg(
-        F.avg(score).alias("sentiment_score"), F.count("*").alias("total_interactions"), F.max(ts).alias("last_contact_date")
-    )
+_STATE = "count long, total double, first long, last long"
+
+
+def client_state_stream(notes: DataFrame, client: str = "client_id", score: str = "sentiment_score", ts: str = "ts",
+                        ttl_ms: int = 30 * 86_400_000, delay: str = "1 day") -> DataFrame:
+    """Running sentiment, interaction count, first and last contact per client, with a time to live (update mode).
+
+    Every contact restarts the client's timer. A client without contact for ``ttl_ms`` of event time
+    loses its state: the timer emits a last row with ``idle``, and a later contact begins anew, also
+    where the timer has not fired yet. Contacts behind the watermark are late and left out.
+    """
+    kind = notes.schema[client].dataType.simpleString()
+    rows = notes.select(F.col(client).alias("client_id"), F.col(score).cast("double").alias("score"), F.col(ts).alias("ts"), F.unix_millis(ts).alias("ms"))
+    out = f"client_id {kind}, sentiment_score double, total_interactions long, first_contact long, last_contact long, idle boolean"
+
+    def row(key, held: tuple, idle: bool) -> pd.DataFrame:
+        count, total, first, last = held
+        values = {"client_id": [key[0]], "sentiment_score": [total / count], "total_interactions": [count], "first_contact": [first], "last_contact": [last], "idle": [idle]}
+        return pd.DataFrame(values)
+
+    def update(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            held = state.get
+            state.remove()
+            yield row(key, held, True)
+            return
+        parts = [(f["ms"].to_numpy(), f["score"].to_numpy()) for f in frames]  # 16 bytes a contact of one batch
+        ms, scores = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        order = np.argsort(ms, kind="stable")
+        ms, scores = ms[order], scores[order]
+        held = state.get if state.exists else None
+        begin = np.flatnonzero(np.diff(ms) > ttl_ms)
+        begin = int(begin[-1]) + 1 if len(begin) else 0  # the contacts since the last gap
+        if held is not None and (begin or ms[0] - held[3] > ttl_ms):
+            held = None
+        ms, scores = ms[begin:], scores[begin:]
+        count, total, first, last = held or (0, 0.0, int(ms[0]), int(ms[-1]))
+        held = (count + len(ms), total + float(np.nansum(scores)), min(first, int(ms[0])), max(last, int(ms[-1])))
+        state.update(held)
+        state.setTimeoutTimestamp(max(held[3] + ttl_ms, state.getCurrentWatermarkMs() + 1))
+        yield row(key, held, False)
+
+    watched = rows.where("client_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", delay)
+    return watched.groupBy("client_id").applyInPandasWithState(update, out, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
