@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewell import fixed_values as fv
@@ -201,6 +201,37 @@ def reuse_results(notes: DataFrame, results: DataFrame, now, step: str, text: st
     ).drop("__hit")
 
 
+def reuse_as_of(notes: DataFrame, results: DataFrame, step: str, text: str = "text", ts: str = "ts", ttl_seconds: int = fv.REUSE_TTL_SECONDS,
+                payload: str = "result", salt: str = "v1", chunk: str = "hour") -> DataFrame:
+    """Notes with the newest result of the same normalised text that was stored at or before the note's own time, not longer than the time to live ago.
+
+    ``results`` has ``cache_key``, ``cached_at`` and the payload; of results of one time the largest payload counts.
+    Adds ``cache_key``, ``cached_at``, the payload and ``from_cache``. Notes and results of a key are merged
+    into time lines of one ``chunk`` each; a chunk starts with the last result of the chunks before it, so
+    a key that holds much of the data meets in no task with more than its rows of a chunk. A note without a time has no hit.
+    """
+    value = F.struct(F.col("cached_at"), F.col(payload).alias("__payload"))
+    keyed = notes.withColumn("cache_key", scalars.text_key(F.col(text), step, salt))
+    columns = keyed.columns
+    stored = results.where("cached_at IS NOT NULL").groupBy("cache_key", F.date_trunc(chunk, "cached_at").alias("__chunk"), "cached_at").agg(F.max(payload).alias(payload))
+    asked = keyed.select("cache_key", F.date_trunc(chunk, F.col(ts)).alias("__chunk"), F.col(ts).alias("__ts"), F.struct(*columns).alias("__note"))
+    last = stored.groupBy("cache_key", "__chunk").agg(F.max(value).alias("__last"))
+    chunks = last.unionByName(asked.where("__chunk IS NOT NULL").select("cache_key", "__chunk").distinct(), allowMissingColumns=True)
+    chunks = chunks.groupBy("cache_key", "__chunk").agg(F.max("__last").alias("__last"))
+    earlier = Window.partitionBy("cache_key").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = chunks.select("cache_key", "__chunk", F.last("__last", ignorenulls=True).over(earlier).alias("__value")).where("__value IS NOT NULL")
+    line = (
+        carried.withColumns({"__kind": F.lit(0), "__ts": F.col("__chunk")})
+        .unionByName(stored.select("cache_key", "__chunk", value.alias("__value"), F.lit(1).alias("__kind"), F.col("cached_at").alias("__ts")))
+        .unionByName(asked.withColumn("__kind", F.lit(2)), allowMissingColumns=True)
+    )
+    so_far = Window.partitionBy("cache_key", "__chunk").orderBy("__ts", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = line.withColumn("__hit", F.last("__value", ignorenulls=True).over(so_far)).where("__kind = 2")
+    fresh = F.col("__hit.cached_at") >= F.col("__ts") - F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")
+    hit = F.when(fresh, F.col("__hit"))
+    return held.select(*[F.col(f"__note.{c}").alias(c) for c in columns], hit["cached_at"].alias("cached_at"), hit["__payload"].alias(payload), F.coalesce(fresh, F.lit(False)).alias("from_cache"))
+
+
 def with_stock(matches: DataFrame, stock: DataFrame) -> DataFrame:
     """``in_stock`` is false only for a stock of exactly zero; unknown items count as in stock."""
     known = stock.select("sku", F.col("stock").alias("__stock"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from notewell import fixed_values as fv
 from notewell.functions import lists
 from notewell.functions import matching as m
-from notewell.operators import joins
+from notewell.operators import joins, paging
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
@@ -180,8 +180,8 @@ def upsert_clients(clients: DataFrame, notes: DataFrame) -> DataFrame:
 
     A note with a reference belongs to that external id; one with only a name belongs to the
     first client whose name contains it; the rest found new clients (one per reference or
-    name), whose ids follow from reference or name and lie above all ids in use. The mean sentiment is updated incrementally; ``days_since_contact`` is the gap to
-    the previous contact.
+    name), whose ids follow each other above the largest id in use, in the order of reference or name.
+    The mean sentiment is updated incrementally; ``days_since_contact`` is the gap to the previous contact.
     """
     by_ref = notes.where(F.col("client_ref").isNotNull())
     by_name = notes.where(F.col("client_ref").isNull() & F.col("client_name").isNotNull())
@@ -207,8 +207,8 @@ def upsert_clients(clients: DataFrame, notes: DataFrame) -> DataFrame:
                  F.when(F.lower("behavior").isin("vic", "ultimate", "platinum"), F.col("ts"))).alias("__behavior"),
     )
     largest = clients.select(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).scalar()
-    new_id = largest + 1 + F.conv(F.substring(F.md5("__new"), 1, 14), 16, 10).cast("bigint")
-    founded = batch.where("__id IS NULL").withColumn("id", new_id).withColumn("__founded", F.lit(True))
+    ranked = paging.numbered(batch.where("__id IS NULL"), [F.col("__new")], "__nth")[0].drop("__range")
+    founded = ranked.withColumn("id", largest + F.col("__nth")).withColumn("__founded", F.lit(True)).drop("__nth")
     joined = clients.join(batch.withColumnRenamed("__id", "id").where("id IS NOT NULL"), "id", "left").unionByName(founded.drop("__id"), allowMissingColumns=True)
     n0 = F.coalesce("total_interactions", F.lit(0))
     mean0 = F.coalesce("sentiment_score", F.lit(0.0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from notewell.session import cut_lineage
 
+NEAR = 10_000  # rows that one task may gather for a page
 SORT_MODES = ("priority", "recent", "budget", "urgency")
 
 
@@ -27,9 +29,35 @@ def shortlist(df: DataFrame, base_score: str, tie: str, k: int) -> DataFrame:
     return topk(df, base_score, shortlist_size(k), tie)
 
 
-def page(df: DataFrame, order: Sequence[Column], page_no: int, size: int) -> DataFrame:
-    """The rows of a 1-based page."""
-    return df.orderBy(*order).offset((page_no - 1) * size).limit(size)
+def numbered(df: DataFrame, order: Sequence[Column], out: str = "rank") -> tuple[DataFrame, DataFrame]:
+    """Every row with its place from 1 in ``order``, and the ranges of the order: ``__range``, ``__start`` and ``__n`` rows.
+
+    The rows are sorted by ranges and written once. A place is that within the range after the rows of
+    the ranges before it, so no task holds more than a range. There is one range per shuffle
+    partition at most, so their sizes are summed up on the driver.
+    """
+    spark = df.sparkSession
+    placed = cut_lineage(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "sorted-rows").withColumn("__range", F.shiftright("__at", 33))
+    sizes = sorted((r["__range"], r["n"]) for r in placed.groupBy("__range").agg(F.count("*").alias("n")).collect())
+    starts = [0, *itertools.accumulate(n for _, n in sizes)]
+    ranges = spark.createDataFrame([(k, starts[i], n) for i, (k, n) in enumerate(sizes)], "__range bigint, __start bigint, __n bigint")
+    place = F.col("__start") + F.col("__at") - F.shiftleft("__range", 33) + 1
+    return placed.join(F.broadcast(ranges.drop("__n")), "__range").withColumn(out, place).drop("__at", "__start"), ranges
+
+
+def page(df: DataFrame, order: Sequence[Column], page_no: int, size: int, near: int = NEAR) -> DataFrame:
+    """The rows of a 1-based page.
+
+    A page among the first ``near`` rows is cut from each partition's first rows. For one further
+    back the order is numbered, and only the ranges that hold the page are read, so that no task gathers all rows before it.
+    """
+    first = (page_no - 1) * size
+    if first + size <= near:
+        return df.orderBy(*order).offset(first).limit(size)
+    rows, ranges = numbered(df, order, "__place")
+    wanted = ranges.where((F.col("__start") < first + size) & (F.col("__start") + F.col("__n") > first)).select("__range")
+    inside = rows.join(F.broadcast(wanted), "__range", "left_semi").where(F.col("__place").between(first + 1, first + size))
+    return inside.orderBy("__place").select(*df.columns)
 
 
 def page_info(df: DataFrame, page_no: int, size: int) -> DataFrame:
@@ -60,18 +88,8 @@ def sort_opportunities(df: DataFrame, mode: str = "priority", id_col: str = "not
 
 
 def ranked_opportunities(df: DataFrame, mode: str = "priority", id_col: str = "note_id") -> DataFrame:
-    """Every row with ``rank``, its place from 1 in the whole order of ``mode``.
-
-    The rows are sorted by ranges and written once; a rank is the place within its range
-    after the rows of the ranges before it, so no task holds more than a range.
-    """
-    placed = cut_lineage(sort_opportunities(df, mode, id_col).withColumn("__at", F.monotonically_increasing_id()), "sorted-rows")
-    placed = placed.withColumn("__range", F.shiftright("__at", 33))
-    sizes = placed.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = sizes.select(F.col("__range").alias("__later")).join(sizes, F.col("__range") < F.col("__later"), "left")
-    starts = before.groupBy(F.col("__later").alias("__range")).agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__start"))
-    rank = F.col("__start") + F.col("__at") - F.shiftleft("__range", 33) + 1
-    return placed.join(starts, "__range").withColumn("rank", rank).drop("__at", "__range", "__start")
+    """Every row with ``rank``, its place from 1 in the whole order of ``mode``."""
+    return numbered(df, sort_columns(mode, id_col))[0].drop("__range")
 
 
 def candidate_limit(limit: int) -> int:

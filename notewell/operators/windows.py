@@ -43,8 +43,9 @@ def top_n_of_hot_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
     return top_n_per_group(top_n_per_group(salted, [*keys, "__salt"], order, n).drop("__salt"), keys, order, n)
 
 
-def stratified_sample(df: DataFrame, lang: str, id_col: str, total: int, n_languages: int, seed: int = 42) -> DataFrame:
-    """``max(1, total // n_languages)`` rows per language, chosen by a seeded hash of the id."""
+def stratified_sample(df: DataFrame, lang: str, id_col: str, total: int, n_languages: int | None = None, seed: int = 42) -> DataFrame:
+    """``max(1, total // n_languages)`` rows per language, chosen by a seeded hash of the id; without ``n_languages`` the languages are counted."""
+    n_languages = df.select(lang).distinct().count() if n_languages is None else n_languages
     per_language = max(1, total // max(1, n_languages))
     order = [F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)]
     return top_n_of_hot_groups(df, [lang], order, per_language, id_col)

@@ -211,6 +211,14 @@ def page(spark, sf):
     return paging.page(orders, [F.col("o_orderdate").desc(), F.col("o_orderkey")], 3, 50).select("o_orderkey", "o_totalprice")
 
 
+@query("page_deep", "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_linenumber LIMIT 50 OFFSET (SELECT (count(*) // 100) * 50 FROM lineitem)")
+def page_deep(spark, sf):
+    """A page in the middle of the order, far behind the first rows."""
+    lines = t.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    order = [F.col("l_shipdate").desc(), F.col("l_orderkey"), F.col("l_linenumber")]
+    return paging.page(lines, order, lines.count() // 100 + 1, 50, near=1000).select("l_orderkey", "l_linenumber")
+
+
 @query("page_info", "SELECT count(*) AS total, 3 AS page, 50 AS page_size, CAST(ceil(count(*) / 50e0) AS BIGINT) AS total_pages FROM orders")
 def page_info(spark, sf):
     return paging.page_info(t.table(spark, sf, "orders"), 3, 50)

@@ -131,6 +131,25 @@ def reuse_results(spark, sf):
     return joins.reuse_results(notes, results, t.ORDERS_END, "note", ttl_seconds=31536000).select("id", "from_cache")
 
 
+# every order is a note some days after its date; the finished ones are stored results of their date
+_ASOF_TTL = 90 * 86400
+
+
+@query("reuse_as_of", f"""
+WITH keyed AS (SELECT o_orderkey, o_orderdate, o_orderstatus, o_orderdate + to_days(CAST(o_orderkey % 40 AS INTEGER)) AS ts, md5('v1:note:' || trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9_\\s]', '', 'g')) || ' ' || (o_custkey % 50)) AS k FROM orders),
+stored AS (SELECT k, o_orderdate AS cached_at, max(o_orderkey) AS result FROM keyed WHERE o_orderstatus = 'F' GROUP BY 1, 2)
+SELECT n.o_orderkey AS id, CASE WHEN fresh THEN strftime(r.cached_at, '%Y-%m-%d') END AS cached_on, CASE WHEN fresh THEN r.result END AS result, coalesce(fresh, false) AS from_cache
+FROM (SELECT n.*, r.cached_at, r.result, r.cached_at >= n.ts - INTERVAL {_ASOF_TTL} SECOND AS fresh FROM keyed n ASOF LEFT JOIN stored r ON n.k = r.k AND n.ts >= r.cached_at) r JOIN keyed n USING (o_orderkey)""")
+def reuse_as_of(spark, sf):
+    orders = t.table(spark, sf, "orders").withColumn("text", F.concat_ws(" ", "o_orderpriority", (F.col("o_custkey") % 50).cast("string")))
+    results = orders.where("o_orderstatus = 'F'").select(
+        scalars.text_key(F.col("text"), "note").alias("cache_key"), F.col("o_orderdate").cast("timestamp").alias("cached_at"), F.col("o_orderkey").alias("result")
+    )
+    notes = orders.select(F.col("o_orderkey").alias("id"), "text", F.expr("CAST(o_orderdate AS TIMESTAMP) + make_dt_interval(CAST(o_orderkey % 40 AS INT))").alias("ts"))
+    out = joins.reuse_as_of(notes, results, "note", ttl_seconds=_ASOF_TTL)
+    return out.select("id", F.date_format("cached_at", "yyyy-MM-dd").alias("cached_on"), "result", "from_cache")
+
+
 @query("stock_flag", """
 SELECT l_orderkey, l_linenumber, p.p_size % 10 <> 0 OR p.p_partkey IS NULL AS in_stock
 FROM lineitem LEFT JOIN part p ON p.p_partkey = l_partkey AND p.p_type <> 'PROMO'""")

@@ -9,6 +9,7 @@ from notewell.operators import dedup, mutate, quality
 from notewell.plans import extract, metrics, route
 from notewell.session import shared_folder
 from notewell.sources import readers, writers
+from notewell.sources.keyed_store import KeyedTable
 from workload import tables as t
 from workload.records import PACK
 from workload.registry import query
@@ -171,6 +172,53 @@ def upsert_products(spark, sf):
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
+# --- the same mutations as merges into stored tables ---------------------------------------------------
+
+@query("store_merge_products", """
+WITH a AS (SELECT p_partkey + 1000 AS k, 'new ' || p_name AS name, p_retailprice + 1 AS price FROM part),
+b AS (SELECT p_partkey AS k, 'sale ' || p_name AS name, p_retailprice / 2 AS price FROM part WHERE p_size > 40)
+SELECT sku, CASE WHEN b.k IS NOT NULL THEN b.name ELSE m.name END AS name, CASE WHEN b.k IS NOT NULL THEN b.price ELSE m.price END AS price
+FROM (SELECT coalesce(p_partkey, k) AS sku, coalesce(a.name, p_name) AS name, coalesce(a.price, p_retailprice) AS price FROM part FULL JOIN a ON k = p_partkey) m LEFT JOIN b ON b.k = sku""")
+def store_merge_products(spark, sf):
+    """M-01 on a stored table: two merges; a repeated second one changes nothing."""
+    part = t.table(spark, sf, "part")
+    start = part.select(F.col("p_partkey").alias("sku"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"))
+    table = KeyedTable.create(start, shared_folder(spark, "products-table"), ["sku"])
+    more = part.select((F.col("p_partkey") + 1000).alias("sku"), F.concat(F.lit("new "), "p_name").alias("name"), (F.col("p_retailprice") + 1).alias("price"))
+    sale = part.where("p_size > 40").select(F.col("p_partkey").alias("sku"), F.concat(F.lit("sale "), "p_name").alias("name"), (F.col("p_retailprice") / 2).alias("price"))
+    for number, changes in enumerate((more, sale, sale)):
+        table.merge(changes, lambda old, new: mutate.upsert(old, new, ["sku"]).drop("change"), min(number, 1))
+    return table.read()
+
+
+@query("store_merge_vectors", """
+SELECT coalesce(a.vec_id, b.vec_id + 100) AS id, coalesce(-b.label, a.label) AS label, round(coalesce(CAST(b.embedding[2] AS DOUBLE), CAST(a.embedding[1] AS DOUBLE)), 6) AS head, a.vec_id % 7 AS keep
+FROM embeddings a FULL JOIN (SELECT * FROM embeddings WHERE label < 5) b ON b.vec_id + 100 = a.vec_id""")
+def store_merge_vectors(spark, sf):
+    """M-04 on a stored table."""
+    v = t.table(spark, sf, "embeddings")
+    table = KeyedTable.create(v.select(F.col("vec_id").alias("id"), "embedding", "label", (F.col("vec_id") % 7).alias("keep")), shared_folder(spark, "vectors-table"), ["id"])
+    docs = v.where("label < 5").select((F.col("vec_id") + 100).alias("id"), F.slice("embedding", 2, 63).alias("embedding"), (-F.col("label")).alias("label"))
+    table.merge(docs, mutate.upsert_vectors)
+    return table.read().select("id", "label", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("head"), "keep")
+
+
+@query("store_merge_actions", f"""
+WITH v AS (SELECT o_orderkey AS note_id, o_orderdate + INTERVAL 2 DAY AS updated_at FROM orders WHERE o_orderpriority <> '5-LOW' AND o_orderkey % 3 = 0)
+SELECT coalesce(a.note_id, v.note_id) AS note_id, CASE WHEN v.note_id IS NOT NULL THEN 'call' ELSE a.action_type END AS action_type, CASE WHEN v.note_id IS NOT NULL THEN 'done' ELSE a.status END AS status,
+  strftime(coalesce(a.created_at, v.updated_at), '%Y-%m-%d') AS created FROM ({t.ACTIONS_SQL}) a FULL JOIN v ON v.note_id = a.note_id""")
+def store_merge_actions(spark, sf):
+    """M-05 on a stored table: enums are checked, the note must exist, ``created_at`` survives."""
+    o, notes = t.table(spark, sf, "orders"), t.order_notes(spark, sf)
+    table = KeyedTable.create(t.order_actions(spark, sf), shared_folder(spark, "actions-table"), ["note_id"])
+    updates = o.where("o_orderkey % 3 = 0").select(
+        F.col("o_orderkey").alias("note_id"), F.lit(1).cast("bigint").alias("manager_id"), F.when(F.col("o_orderpriority") == "5-LOW", "bogus").otherwise(" Call").alias("action_type"),
+        F.lit("DONE").alias("status"), F.lit("x").alias("details"), (F.col("o_orderdate") + F.expr("INTERVAL 2 DAYS")).alias("updated_at"),
+    )
+    table.merge(updates, lambda old, new: mutate.upsert_actions(old, new, notes).drop("change"))
+    return table.read().select("note_id", "action_type", "status", F.date_format("created_at", "yyyy-MM-dd").alias("created"))
+
+
 @query("adjust_stock", """
 SELECT CAST(p_partkey AS VARCHAR) AS sku, CASE WHEN p_size % 10 + coalesce(d, 0) < 0 THEN p_size % 10 ELSE p_size % 10 + coalesce(d, 0) END AS stock, p_size % 10 + coalesce(d, 0) < 0 AS rejected
 FROM part LEFT JOIN (SELECT l_partkey, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE -1 END) AS BIGINT) AS d FROM lineitem GROUP BY 1) ON l_partkey = p_partkey""")
@@ -254,7 +302,7 @@ SELECT coalesce(c.id, -1) AS id, b.* FROM (SELECT o_orderkey, o_orderdate AS ts,
 SELECT c.id, CASE WHEN b.vic THEN 'VIC' ELSE c.category END AS category, round(CASE WHEN b.n IS NULL THEN c.sentiment_score ELSE (c.sentiment_score * c.total_interactions + b.s) / (c.total_interactions + b.n) END, 6) AS sentiment_score,
   c.total_interactions + coalesce(b.n, 0) AS total_interactions FROM ({t.CLIENTS_SQL}) c LEFT JOIN (SELECT id, count(*) AS n, sum(s) AS s, bool_or(vic) AS vic FROM ({_BATCH}) GROUP BY 1) b ON b.id = c.id
 UNION ALL
-SELECT (SELECT max(id) FROM ({t.CLIENTS_SQL})) + 1 + CAST('0x' || substr(md5('ref:NEW-' || o_custkey), 1, 14) AS BIGINT), CASE WHEN bool_or(o_orderpriority = '1-URGENT') THEN 'VIC' ELSE 'Regular' END,
+SELECT (SELECT max(id) FROM ({t.CLIENTS_SQL})) + row_number() OVER (ORDER BY 'ref:NEW-' || o_custkey), CASE WHEN bool_or(o_orderpriority = '1-URGENT') THEN 'VIC' ELSE 'Regular' END,
   round(sum((o_custkey % 5) / 4e0) / count(*), 6), count(*) FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey""")
 def upsert_clients(spark, sf):
     o = t.table(spark, sf, "orders")

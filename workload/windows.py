@@ -55,9 +55,9 @@ def first_pattern(spark, sf):
     return t.order_texts(spark, sf).select("id", windows.client_gender(F.col("text")).alias("gender"))
 
 
-@query("stratified_sample", "SELECT lang, least(count(*), 12) AS n FROM documents GROUP BY lang")
+@query("stratified_sample", "SELECT lang, least(count(*), greatest(1, 50 // (SELECT count(DISTINCT lang) FROM documents))) AS n FROM documents GROUP BY lang")
 def stratified_sample(spark, sf):
-    sample = windows.stratified_sample(t.documents(spark, sf), "lang", "id", 50, 4)
+    sample = windows.stratified_sample(t.documents(spark, sf), "lang", "id", 50)
     return sample.groupBy("lang").agg(F.count("*").alias("n"))
 
 
