@@ -8,6 +8,7 @@ partitions otherwise. Lists that must be inlined are length-checked.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from notewell import fixed_values as fv
 from notewell.functions import matching as m
 from notewell.functions import scalars, similarity
 from notewell.functions.packs import RulePack
+from notewell.session import cut_lineage
 
 MAX_VOCABULARY = 5000
 
@@ -140,6 +142,67 @@ def tag_by_lexicon_table(df: DataFrame, lexicon: DataFrame, id_col: str, text: s
     return found.select(id_col, "tag").distinct()
 
 
+def tag_by_lexicon_trie(df: DataFrame, lexicon: DataFrame, id_col: str, text: str, salts: int = 8) -> DataFrame:
+    """(id, tag) rows as :func:`tag_by_lexicon_table` gives them, by walking a trie of the keywords' words.
+
+    The nodes of level k are the distinct beginnings of k words, with what stands between the words. Every
+    word of a text is a row with the few words behind it, as many as the longest keyword has, so no row
+    carries a text. At each level the rows whose words so far are a node go on, and those whose words are
+    a whole keyword give its tag, if also what stands before and behind is that of the keyword. The joins are
+    on words that occur in both sides, spread over ``salts`` parts, so a frequent word is no key of one task.
+    Keywords without a letter or digit meet the pieces between words by their length.
+    """
+    place = F.struct("position", "tag") if "position" in lexicon.columns else F.col("tag")
+    owned = lexicon.withColumn("__keyword", F.lower(F.trim("keyword"))).where("__keyword != ''").groupBy("__keyword").agg(F.max_by("tag", place).alias("tag"))
+    word, both = r"[\p{L}\p{N}]+", F.lit("")
+
+    def pieces(c: Column) -> tuple[Column, Column]:
+        """Words, and what stands before, between and behind them (one more)."""
+        return F.regexp_extract_all(c, F.lit(word), F.lit(0)), F.split(c, word, -1)
+
+    words, seps = pieces(F.col("__keyword"))
+    keys = cut_lineage(owned.select("tag", "__keyword", words.alias("__words"), seps.alias("__seps")), "keywords")
+    longest, lengths = keys.agg(F.max(F.size("__words")), F.collect_set(F.when(F.size("__words") == 0, F.length("__keyword")))).first()
+    longest = longest or 0
+
+    def path(k: int) -> Column:
+        """The first ``k`` words with what stands between them."""
+        return F.concat(*[part for j in range(k) for part in (([F.element_at("__seps", j + 1)] if j else []) + [F.element_at("__words", j + 1)])])
+
+    words, seps = pieces(F.lower(F.coalesce(F.col(text), F.lit(""))))
+    whole = df.select(F.col(id_col), words.alias("__w"), seps.alias("__s"))
+    at = F.posexplode(F.transform("__w", lambda w, i: F.struct(
+        F.slice("__w", i + 1, F.lit(max(longest, 1))).alias("words"), F.slice("__s", i + 1, F.lit(longest + 1)).alias("seps"), (i + F.lit(longest) >= F.size("__w")).alias("ends"),
+    ))).alias("__at", "__run")
+    alive = whole.select(id_col, at).select(id_col, "__at", F.col("__run.words").alias("__words"), F.col("__run.seps").alias("__seps"), F.col("__run.ends").alias("__ends"))
+    alive = alive.withColumn("__salt", F.pmod(F.xxhash64(F.col(id_col), "__at"), F.lit(salts)))
+    spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("__salt")
+    found = []
+    for k in range(1, longest + 1):
+        own = [F.element_at("__seps", 1).alias("__lead"), F.element_at("__seps", k + 1).alias("__tail")]
+        nodes = keys.where(F.size("__words") >= k).select(path(k).alias("__path"), (F.size("__words") > k).alias("__more")).groupBy("__path").agg(F.max("__more").alias("__more"))
+        last = keys.where(F.size("__words") == k).select(path(k).alias("__path"), *own, "tag")
+        rows = alive.where(F.size("__words") >= k).withColumn("__path", path(k))
+        alive = cut_lineage(rows.join(nodes.select("*", spread), ["__path", "__salt"]), "trie-level")
+        before, behind = F.element_at("__seps", 1), F.element_at("__seps", k + 1)
+        first, end = F.col("__at") == 0, F.col("__ends") & (F.size("__words") == k)
+        fits = before.endswith(F.col("__lead")) & ((F.col("__lead") == both) | first | (F.length(before) > F.length("__lead")))
+        fits &= behind.startswith(F.col("__tail")) & ((F.col("__tail") == both) | end | (F.length(behind) > F.length("__tail")))
+        found.append(alive.join(last.select("*", spread), ["__path", "__salt"]).where(fits).select(id_col, "tag"))
+        alive = alive.where("__more").drop("__path", "__more")
+    if lengths:
+        between = whole.select(id_col, F.posexplode("__s").alias("__at", "__sep"), (F.size("__s") - 1).alias("__last")).where("__sep != ''")
+        cut = F.flatten(F.transform(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: F.transform(
+            F.filter(F.sequence(F.lit(1), F.length("__sep")), lambda i: (i + n - 1 <= F.length("__sep")) & ((i > 1) | (F.col("__at") == 0)) & ((i + n - 1 < F.length("__sep")) | (F.col("__at") == F.col("__last")))),
+            lambda i: F.substring(F.col("__sep"), i, n),
+        )))
+        parts = between.select(id_col, F.explode(F.array_distinct(cut)).alias("__keyword"))
+        found.append(parts.join(keys.where(F.size("__words") == 0).select("__keyword", "tag"), "__keyword").select(id_col, "tag"))
+    if not found:
+        return df.select(F.col(id_col), F.lit("").alias("tag")).limit(0)
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
 def dynamic_tag(tag: Column) -> Column:
     out = F.lit(False)
     for prefix in fv.DYNAMIC_TAG_PREFIXES:

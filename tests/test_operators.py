@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from notewell.functions import scalars
 from notewell.operators import dedup, filters, joins, mutate, paging, quality, vectors, windows
 from notewell.plans import drift, metrics
 
@@ -143,7 +144,6 @@ def test_lexicon_table_equals_inline_pack(spark):
 
 
 def test_reuse_respects_the_time_to_live(spark):
-    from notewell.functions import scalars
 
     now = datetime(2024, 1, 2)
     notes = spark.createDataFrame([(1, "Bonjour,  LE sac!"), (2, "autre"), (3, "vieux")], "id int, text string")
@@ -278,3 +278,61 @@ def test_first_rows_of_a_hot_group(spark):
     df = spark.createDataFrame([("hot", i) for i in range(500)] + [("cold", i) for i in range(3)], "k string, id int").repartition(4)
     rows = windows.top_n_of_hot_groups(df, ["k"], [df["id"].desc()], 100, "id").collect()
     assert sorted(r["id"] for r in rows if r["k"] == "hot") == list(range(400, 500)) and len(rows) == 103
+
+
+def test_trie_of_keywords_equals_the_table_form(spark):
+    rng = random.Random(5)
+    words = ["sac", "à", "main", "rouge", "l'eau", "x2", "é", "net", "the"]
+    seps = [" ", "  ", "-", "", ". ", ".", "!!", " & "]
+    texts = [rng.choice(["", ".", " ", "&"]) + "".join(rng.choice(words) + rng.choice(seps) for _ in range(rng.randint(0, 12))) for _ in range(300)] + [None, "", "...", "&", "net", ".NET", "a.net", "the " * 400]
+    keywords = [(f"t{k}", rng.choice(["", "", ".", "#"]) + rng.choice(seps).join(rng.choices(words, k=rng.randint(1, 4))) + rng.choice(["", "", "!", "."])) for k in range(120)]
+    keywords += [("amp", "&"), ("dots", ".."), ("bang", "!!"), ("net", ".net"), ("net2", "net"), ("same", "sac"), ("zzz", "sac"), ("blank", "  ")]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    lexicon = spark.createDataFrame(keywords, "tag string, keyword string")
+    expected = sorted(map(tuple, joins.tag_by_lexicon_table(df, lexicon, "id", "text").collect()))
+    assert sorted(map(tuple, joins.tag_by_lexicon_trie(df, lexicon, "id", "text").collect())) == expected and len(expected) > 300
+    assert joins.tag_by_lexicon_trie(df, lexicon.limit(0), "id", "text").count() == 0
+
+
+def test_trie_of_many_keywords(spark):
+    """100,000 keywords; of the texts a third of all words is one word, which begins many keywords."""
+    lexicon = spark.range(100_000).selectExpr("concat('tag', id) AS tag", "concat('the w', id % 5000, ' x', id) AS keyword")
+    texts = spark.range(3000).selectExpr("id", "concat_ws(' ', transform(sequence(0, 9), k -> concat('the w', (id + k) % 5000, ' x', (id + k) % 5000 + IF(k = 3, 5000, 1)))) AS text")
+    found = sorted((r["id"], r["tag"]) for r in joins.tag_by_lexicon_trie(texts, lexicon, "id", "text").collect())
+    assert found == sorted((i, f"tag{i + 3 + 5000}") for i in range(3000))
+
+
+def test_pages_far_back_and_numbers_without_gaps(spark):
+    df = spark.range(1000).selectExpr("id", "id * 7 % 13 AS v").repartition(5)
+    order = [F.col("v").desc(), F.col("id")]
+    rows = [r["id"] for r in df.orderBy(*order).collect()]
+    for number in (1, 3, 10, 11):
+        near, far = (sorted(r["id"] for r in paging.page(df, order, number, 100, n).collect()) for n in (10_000, 0))
+        assert near == far == sorted(rows[(number - 1) * 100 : number * 100])
+    ranked, ranges = paging.numbered(df, order)
+    assert [r["id"] for r in ranked.orderBy("rank").collect()] == rows and ranges.agg(F.sum("__n")).first()[0] == 1000
+    assert paging.numbered(df.limit(0), order)[0].count() == 0
+
+
+def test_new_client_ids_follow_the_largest(spark):
+    clients = spark.createDataFrame(
+        [(5, "Anna", None, "Regular", "Standard", 0.5, 1, datetime(2024, 1, 1), None)],
+        "id bigint, name string, external_client_id string, category string, vic_status string, sentiment_score double, total_interactions bigint, last_contact_date timestamp, days_since_contact int",
+    )
+    for batch in range(3):
+        notes = spark.createDataFrame([(f"r{batch}-{k}", None, 0.5, None, datetime(2024, 1, 2)) for k in range(40)], "client_ref string, client_name string, sentiment double, behavior string, ts timestamp")
+        clients = spark.createDataFrame(mutate.upsert_clients(clients, notes).select(*clients.columns).collect(), clients.schema)
+    assert sorted(r["id"] for r in clients.collect()) == list(range(5, 126))
+
+
+def test_reuse_as_of_each_notes_time(spark):
+    def at(h):
+        return datetime(2024, 1, 1) + timedelta(hours=h)
+
+    results = spark.createDataFrame([("a", at(1), 1), ("a", at(30), 2), ("a", at(30), 3), ("b", at(5), 4), ("c", None, 5)], "t string, cached_at timestamp, result int")
+    results = results.select(scalars.text_key(F.col("t"), "note").alias("cache_key"), "cached_at", "result")
+    asked = [(1, "a", at(0.5)), (2, "A!", at(1)), (3, "a", at(29.9)), (4, "a", at(30)), (5, "a", at(54.01)), (6, "a", at(53)), (7, "b", at(4.99)), (8, "c", at(9)), (9, "b", None), (10, None, at(3))]
+    notes = spark.createDataFrame(asked, "id int, text string, ts timestamp")
+    for chunk in ("hour", "year", "minute"):
+        got = {r["id"]: (r["result"], r["from_cache"]) for r in joins.reuse_as_of(notes, results, "note", ttl_seconds=86400, chunk=chunk).collect()}
+        assert got == {1: (None, False), 2: (1, True), 3: (None, False), 4: (3, True), 5: (None, False), 6: (3, True), 7: (None, False), 8: (None, False), 9: (None, False), 10: (None, False)}

@@ -86,6 +86,31 @@ def tag_lexicon_table(spark, sf):
     return joins.tag_by_lexicon_table(t.documents(spark, sf), lexicon, "id", "text")
 
 
+@query("tag_lexicon_trie", f"SELECT doc_id AS id, unnest(string_split({_TAGS}, ',')) AS tag FROM documents WHERE {_TAGS} <> ''")
+def tag_lexicon_trie(spark, sf):
+    rows = [(tag, w, k) for k, (tag, words) in enumerate(LEXICON.items()) for w in words]
+    lexicon = spark.createDataFrame(rows, "tag string, keyword string, position int")
+    return joins.tag_by_lexicon_trie(t.documents(spark, sf), lexicon, "id", "text")
+
+
+_RUN = "list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+_PHRASES = f"SELECT DISTINCT w[i] || ' ' || w[i + 1] AS phrase FROM (SELECT w, unnest(generate_series(1, len(w) - 1)) AS i FROM (SELECT {_RUN} AS w FROM benchmark))"
+
+
+@query("tag_benchmark_phrases", f"""
+WITH p AS ({_PHRASES.replace("{{", "{").replace("}}", "}")}),
+d AS (SELECT doc_id, string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+') AS w, string_split_regex(lower(text), '[\p{{L}}\p{{N}}]+') AS s FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, list_filter(w, lambda x: x <> '') AS w, s FROM d),
+r AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS phrase FROM (SELECT doc_id, w, s, unnest(generate_series(1, len(w) - 1)) AS i FROM c) WHERE s[i + 1] = ' ')
+SELECT doc_id AS id, phrase AS tag FROM r JOIN p USING (phrase)""")
+def tag_benchmark_phrases(spark, sf):
+    """Thousands of two-word keywords: every pair of neighbouring words of the benchmark, looked up in all documents."""
+    w = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("__w") - 1), lambda i: F.concat_ws(" ", F.element_at("__w", i), F.element_at("__w", i + 1)))
+    phrases = t.table(spark, sf, "benchmark").select(w.alias("__w")).where(F.size("__w") > 1).select(F.explode(pairs).alias("keyword")).distinct()
+    return joins.tag_by_lexicon_trie(t.documents(spark, sf), phrases.withColumn("tag", F.col("keyword")), "id", "text")
+
+
 @query("known_tags", """
 SELECT p_partkey AS id, tag, tag IN (SELECT lower(p_type) FROM part) OR starts_with(tag, 'gift_for_') AS known
 FROM (SELECT p_partkey, unnest([string_split(p_name, ' ')[1], lower(p_type), CASE WHEN p_size > 25 THEN 'gift_for_me' ELSE 'other_tag' END]) AS tag FROM part)""")
