@@ -5,15 +5,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewell import fixed_values as fv
 from notewell.functions import lists, payload, privacy, scalars
 from notewell.functions import matching as m
 from notewell.operators import joins, paging, windows
+from notewell.session import cut_lineage
+from notewell.sources import writers
 
 
 def parse_notes(notes: DataFrame, column: str = "analysis_json") -> DataFrame:
@@ -238,6 +240,27 @@ def advisor_metrics(warehouse: DataFrame, end=None, days: int = 30) -> DataFrame
     )
 
 
+def refresh_daily(spark: SparkSession, warehouse: str, target: str, days: Sequence, aggregate: Callable[[DataFrame], DataFrame] = daily_metrics) -> None:
+    """Recompute the stored daily aggregates of ``days`` from the warehouse's folders of these days; other days are neither read nor written."""
+    if days:
+        rows = spark.read.parquet(warehouse).where(F.col("date").isin(list(days)))
+        aggregate(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(target)
+
+
+def append_and_refresh(rows: DataFrame, warehouse: str, targets: dict[str, Callable[[DataFrame], DataFrame]]) -> list:
+    """Append warehouse rows and refresh the aggregates of the days they touch; the days.
+
+    ``rows`` are written once before, so that both uses see the same. An aggregate of a day is
+    recomputed whole, so a refresh can be repeated.
+    """
+    staged = cut_lineage(rows, "appended")
+    days = sorted(r["day"] for r in staged.select(F.to_date("timestamp").alias("day")).where("day IS NOT NULL").distinct().collect())  # days of the calendar
+    writers.append_warehouse(staged, warehouse)
+    for target, aggregate in targets.items():
+        refresh_daily(rows.sparkSession, warehouse, target, days, aggregate)
+    return days
+
+
 # --- products, people -------------------------------------------------------------------------------
 
 def product_categories(products: DataFrame) -> DataFrame:

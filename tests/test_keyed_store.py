@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notewell.operators import mutate
+from notewell.plans import metrics
 from notewell.sources.keyed_store import KeyedTable, replacing
 from notewell.streaming import streams
 
@@ -74,6 +75,26 @@ def test_rows_can_leave_and_old_versions_expire(spark, table):
     assert empty.read().count() == 0 and empty.read().columns == ["sku", "name", "price"]
 
 
+def test_daily_refresh_touches_only_its_days(spark, tmp_path):
+    def rows(days):
+        values = [(f"n{d}-{k}", START + timedelta(days=d, hours=k), f"s{k % 2}", "a", 1, 10.0, 0.1, 0.5, 50.0, 5, k == 0, False) for d, n in days for k in range(n)]
+        names = "note_id string, timestamp timestamp, store_id string, advisor_id string, tier_used int, processing_time_ms double, cost_usd double, confidence_score double, quality_score double, points_awarded int, is_vic boolean, cache_hit boolean"
+        return spark.createDataFrame(values, names)
+
+    warehouse, target, whole = (str(tmp_path / n) for n in ("w", "t", "whole"))
+    assert len(metrics.append_and_refresh(rows([(d, 4) for d in range(5)]), warehouse, {target: metrics.daily_metrics})) == 5
+    before = files(target)
+    days = metrics.append_and_refresh(rows([(4, 3), (5, 2)]), warehouse, {target: metrics.daily_metrics})
+    assert [d.day for d in days] == [5, 6]
+    after = files(target)
+    assert {f for f, t in before.items() if after.get(f) == t} == {f for f in before if "2024-01-05" not in f}
+    metrics.refresh_daily(spark, warehouse, whole, [START.date() + timedelta(days=d) for d in range(6)])
+    assert sorted(map(str, spark.read.parquet(target).collect())) == sorted(map(str, spark.read.parquet(whole).collect()))
+    assert spark.read.parquet(target).agg(F.sum("note_count")).first()[0] == 25
+    metrics.refresh_daily(spark, warehouse, target, [])
+    assert files(target) == after
+
+
 START = datetime(2024, 1, 1)
 EVENTS = "ts timestamp, client_id long, value double, step string, profile string, text string"
 

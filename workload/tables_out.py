@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from notewell.operators import dedup, mutate, quality
 from notewell.plans import extract, metrics, route
-from notewell.session import shared_folder
+from notewell.session import cut_lineage, shared_folder
 from notewell.sources import readers, writers
 from notewell.sources.keyed_store import KeyedTable
 from workload import tables as t
@@ -101,6 +101,21 @@ def io_warehouse_rows(spark, sf):
 
 
 
+@query("daily_refresh", f"""
+SELECT 'store' AS kind, '2024-01-' || {_DAY} AS date, c_mktsegment AS store_id, count(*) AS notes, count_if(regexp_matches(text, 'VIC')) AS vics FROM ({t.ORDER_TEXTS_SQL}) GROUP BY 2, 3""")
+def daily_refresh(spark, sf):
+    """A-09 and A-10 kept as tables: three loads, each of which recomputes only the days it touches."""
+    warehouse, stores, advisors = (shared_folder(spark, name) for name in ("daily-warehouse", "daily-stores", "daily-advisors"))
+    rows = cut_lineage(writers.to_warehouse(_processed(spark, sf)), "processed")
+    late = F.dayofmonth("timestamp") > 14
+    for load in (~late, late & (F.pmod(F.xxhash64("note_id"), F.lit(3)) > 0), late & (F.pmod(F.xxhash64("note_id"), F.lit(3)) == 0)):
+        metrics.append_and_refresh(rows.where(load), warehouse, {stores: metrics.daily_metrics, advisors: metrics.advisor_metrics})
+    by_store = spark.read.parquet(stores).select(F.lit("store").alias("kind"), F.col("date").cast("string").alias("date"), "store_id", F.col("note_count").alias("notes"), F.col("vic_count").alias("vics"))
+    by_advisor = spark.read.parquet(advisors).groupBy("date", "store_id").agg(F.sum("notes_count").alias("notes"), F.sum("vic_served").alias("vics"))
+    same = by_advisor.select(F.col("date").cast("string").alias("date"), "store_id", "notes", "vics")
+    return by_store.join(same, ["date", "store_id", "notes", "vics"], "left_semi").select(by_store.columns)  # both tables agree on every row
+
+
 @query("quarantine_sink", """
 SELECT error, count(*) AS n, count_if(requires_manual_review) AS manual FROM (
   SELECT concat_ws('; ', CASE WHEN length(text) > 10000 THEN 'not_long' END, CASE WHEN lang = 'es' THEN 'language' END) AS error, true AS requires_manual_review FROM documents) WHERE error <> '' GROUP BY 1""")
