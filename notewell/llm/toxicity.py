@@ -1,9 +1,9 @@
 """Toxicity by a weighted grammar of finite-state transducers.
 
-Five transducers read the words of a clause: insult, threat, target, negation and reported
-speech. The first two accept words and word stems of a lexicon with weights; the others are
-closed word classes. They are composed into one machine, whose state says what the clause
-holds so far, whether a negation is still in reach, and whether the words are reported; a
+Five transducers read the words of a clause: negation, insult, threat, target and reported
+speech. Negation passes the words on with a mark on those it covers; insult and threat take the weights
+of their words, from a lexicon of words and stems; targets and reports are closed word classes.
+``compose`` makes one machine of them, whose final state says what the clause holds; a
 clause without an insult or a threat gives nothing. A matched clause scores the weights of
 its words under the kind that its final state names; a text's features are its clauses'
 scores by kind, and a logistic function, fitted on labelled rows, weighs the kinds.
@@ -19,6 +19,7 @@ scored each; other columns are ignored. Words longer than any bound are read who
 from __future__ import annotations
 
 import pickle
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,29 +49,86 @@ def hash_of(word: str) -> int:
     return int(words.mix(words.range_hash(words.prefix_hash(raw), np.array([0]), np.array([len(raw)])))[0])
 
 
-def machine() -> tuple[np.ndarray, np.ndarray]:
-    """The composed machine: next state for (state, word class), and the kind of each state.
+class Transducer(NamedTuple):
+    """A finite-state transducer with weights over word classes.
 
-    A state is (words left in a negation's reach, reported, insult, threat, target, negated match).
-    The kind is 0 for an unmatched clause, else 1 + insult-or-threat, target, negated and reported as bits.
+    ``step`` and ``emit`` hold, for each state and input symbol, the next state and the symbol passed on;
+    ``pay`` the share of the word's weight that it takes. State 0 is the start; ``final`` says what each state means.
     """
-    shape = (NEGATION_REACH + 1, 2, 2, 2, 2, 2)
-    size = int(np.prod(shape))
-    step, kind = np.zeros((size, 6), np.int16), np.zeros(size, np.int8)
-    for s in range(size):
-        reach, reported, insult, threat, target, negated = np.unravel_index(s, shape)
-        if insult or threat:
-            kind[s] = 1 + 8 * threat + 4 * target + 2 * negated + reported
-        for c in range(6):
-            hit = c in (INSULT, THREAT)
-            step[s, c] = np.ravel_multi_index((
-                NEGATION_REACH if c == NEGATION else max(0, reach - 1), reported or c == REPORT, insult or c == INSULT,
-                threat or c == THREAT, target or c == TARGET, negated or (hit and reach > 0),
-            ), shape)
-    return step, kind
+
+    step: np.ndarray
+    emit: np.ndarray
+    pay: np.ndarray
+    final: list[tuple]
+
+
+SYMBOLS = 12  # a word class, and 6 more if a negation covers the word
+
+
+def passing(states: int, move, final: list[tuple], pays: tuple[int, ...] = ()) -> Transducer:
+    """A transducer that passes its symbols on unchanged, takes the weight of the classes ``pays`` and moves by ``move(state, class, negated)``."""
+    step, emit, pay = (np.zeros((states, SYMBOLS), kind) for kind in (np.int16, np.int16, float))
+    for state in range(states):
+        for symbol in range(SYMBOLS):
+            step[state, symbol] = move(state, symbol % 6, symbol >= 6)
+            emit[state, symbol], pay[state, symbol] = symbol, float(symbol % 6 in pays)
+    return Transducer(step, emit, pay, final)
 
 
-STEP, KIND = machine()
+def matching(wanted: int) -> Transducer:
+    """Insults or threats: seen not at all, plainly only, or under a negation."""
+    return passing(3, lambda state, c, negated: max(state, 1 + negated) if c == wanted else state, [(False, False), (True, False), (True, True)], (wanted,))
+
+
+def seeing(wanted: int) -> Transducer:
+    """Targets or reported speech: seen or not."""
+    return passing(2, lambda state, c, negated: state or int(c == wanted), [(False,), (True,)])
+
+
+def negating(reach: int) -> Transducer:
+    """Marks the words that a negation covers; a state is the number of words still in its reach."""
+    step, emit = np.zeros((reach + 1, 6), np.int16), np.zeros((reach + 1, 6), np.int16)
+    for left in range(reach + 1):
+        for c in range(6):
+            step[left, c] = reach if c == NEGATION else max(0, left - 1)
+            emit[left, c] = c + 6 * (left > 0)
+    return Transducer(step, emit, np.zeros(step.shape), [()] * (reach + 1))
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """Both in a row: the second reads what the first passes on. Only pairs of states that can be reached are kept."""
+    places, todo = {(0, 0): 0}, [(0, 0)]
+    rows = []
+    for one, two in todo:
+        row = []
+        for symbol in range(first.step.shape[1]):
+            passed = first.emit[one, symbol]
+            after = (int(first.step[one, symbol]), int(second.step[two, passed]))
+            if after not in places:
+                places[after] = len(places)
+                todo.append(after)
+            row.append((places[after], second.emit[two, passed], first.pay[one, symbol] + second.pay[two, passed]))
+        rows.append(row)
+    table = np.array(rows)
+    return Transducer(table[:, :, 0].astype(np.int16), table[:, :, 1].astype(np.int16), table[:, :, 2], [first.final[one] + second.final[two] for one, two in todo])
+
+
+def machine() -> Transducer:
+    """Negation, insult, threat, target and reported speech, composed."""
+    whole = negating(NEGATION_REACH)
+    for part in (matching(INSULT), matching(THREAT), seeing(TARGET), seeing(REPORT)):
+        whole = compose(whole, part)
+    return whole
+
+
+def kind_of(insult: bool, negated_insult: bool, threat: bool, negated_threat: bool, target: bool, reported: bool) -> int:
+    """0 for an unmatched clause, else 1 + insult-or-threat, target, negated and reported as bits."""
+    return 1 + 8 * threat + 4 * target + 2 * (negated_insult or negated_threat) + reported if insult or threat else 0
+
+
+MACHINE = machine()
+STEP, KIND = MACHINE.step, np.array([kind_of(*f) for f in MACHINE.final], np.int8)
+PAYS = MACHINE.pay[0]  # the weight taken depends on the class alone
 KINDS = 17
 
 
@@ -120,7 +178,7 @@ def clause_scores(kind: np.ndarray, weight: np.ndarray, clause: np.ndarray, firs
     for step in range(int(length[0])):  # all matched clauses read one word at a time, the longest last
         live = int(np.searchsorted(-length, -step, side="left"))
         state[:live] = STEP[state[:live], kind[begin[:live] + step]]
-    total = np.concatenate(([0.0], np.cumsum(np.where(hit, weight, 0.0))))
+    total = np.concatenate(([0.0], np.cumsum(weight * PAYS[kind])))
     text = np.searchsorted(first, begin, side="right") - 1
     np.add.at(out, (text, KIND[state]), total[begin + length] - total[begin])
     return out
