@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notewell.llm import words
-from notewell.llm.tables import bounded_batches, bundled, settle, unbundled
+from notewell.llm.tables import bounded_batches, bundled, lean, settle, unbundled
 
 WINDOW = 10  # words of a phrase; a shorter item is one phrase
 BLOCK_BYTES = 4 << 20  # text of the items that are searched in one pass
@@ -204,7 +204,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else items
         phrases = Phrases([(r["item_id"], r["text"]) for r in part.collect()], window)  # about block_bytes
-        out = out.mapInArrow(_search(phrases, block > 0), schema)
+        out = out.mapInArrow(lean(_search(phrases, block > 0)), schema)
         if block + 1 < blocks:
             out = settle(out, "hits")  # so that the next block finds the phrases of this one gone from the plan
     return out
@@ -267,4 +267,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
 
     rows = hits(docs, benchmark, window)
     schema = T.StructType([rows.schema["doc_id"], rows.schema["text"], rows.schema["rest"]])
-    return unbundled(rows.mapInArrow(run, schema), docs)
+    return unbundled(rows.mapInArrow(lean(run), schema), docs)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewell.llm import labelled, words
-from notewell.llm.tables import bounded_batches
+from notewell.llm.tables import bounded_batches, lean
 
 TRAIN_ROWS = 2000  # bound of the labelled sample
 UNKNOWN = "und"
@@ -231,8 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> bytes:
 
 
 def known_grams(model: bytes) -> np.ndarray:
-    """Flags of all trigrams, set for those of the learned texts."""
-    return np.unpackbits(np.frombuffer(pickle.loads(model)["grams"], np.uint8)).view(bool)
+    """Flags of all trigrams, eight in a byte, set for those of the learned texts."""
+    return np.frombuffer(pickle.loads(model)["grams"], np.uint8)
 
 
 def evidence(grams: np.ndarray, column: pa.Array) -> np.ndarray:
@@ -240,7 +240,8 @@ def evidence(grams: np.ndarray, column: pa.Array) -> np.ndarray:
     out = np.zeros(len(column))
     for lo, hi, data, at in words.chunks(column):
         _, _, _, gram, a, b, first = features(data, at)
-        seen = np.concatenate(([0], np.cumsum(grams[gram])))
+        known = grams[gram >> np.uint32(3)] >> (7 - (gram & np.uint32(7))).astype(np.uint8) & 1
+        seen = np.concatenate(([0], np.cumsum(known, dtype=np.int32)))
         share = np.concatenate(([0.0], np.cumsum((seen[b] - seen[a]) / (b - a))))
         out[lo:hi] = (share[first[1:]] - share[first[:-1]]) / np.maximum(1, np.diff(first))
     return out
@@ -282,7 +283,7 @@ def predict(docs: DataFrame, model: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), names, pa.array(np.where(best < 0, 0.0, score))], ["doc_id", "lang_pred", "score"])
 
     rows = _with_letters(docs.select("doc_id", "text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def keep(docs: DataFrame, model: bytes, least: float) -> DataFrame:
@@ -296,7 +297,7 @@ def keep(docs: DataFrame, model: bytes, least: float) -> DataFrame:
             good = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False) & (best >= 0) & (evidence(grams, batch.column(text)) >= least)
             yield batch.filter(pa.array(good)).select(list(range(batch.num_columns - 1)))
 
-    return _with_letters(docs).mapInArrow(run, docs.schema)
+    return _with_letters(docs).mapInArrow(lean(run), docs.schema)
 
 
 def spans(docs: DataFrame, model: bytes) -> DataFrame:

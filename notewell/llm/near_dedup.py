@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from notewell.llm import words
 from notewell.llm.components import components
-from notewell.llm.tables import bounded_batches, keyed_texts, settle
+from notewell.llm.tables import bounded_batches, keyed_texts, lean, settle
 
 BANDS = 24
 BAND_PERMUTATIONS = 2  # each gives a minimum and a maximum: four values a band, found at 0.8 with 1 - 3e-6
@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), bands], ["doc_id", "n_shingles", "d1", "d2", "bands"])
 
-    return keyed_texts(docs).mapInArrow(run, f"doc_id {kind}, n_shingles long, d1 long, d2 long, bands array<long>")
+    return keyed_texts(docs).mapInArrow(lean(run), f"doc_id {kind}, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def stored_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -105,7 +105,7 @@ def stored_sets(docs: DataFrame, width: int) -> DataFrame:
                 packed += [raw[border[k] : border[k + 1]].tobytes() for k in range(hi - lo)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "shingles"])
 
-    return docs.mapInArrow(run, f"id {kind}, shingles binary")
+    return docs.mapInArrow(lean(run), f"id {kind}, shingles binary")
 
 
 def unpack(raw: bytes) -> np.ndarray:
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets = settle(stored_sets(once.select("doc_id", "text"), width), "sets")
     own = pairs.join(sets.withColumnRenamed("shingles", "x"), pairs["node"] == sets["id"]).select("node", "pivot", "x")
     other = sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("y"))
-    confirmed = own.join(other, "pivot").select("node", "pivot", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
+    confirmed = own.join(other, "pivot").select("node", "pivot", "x", "y").mapInArrow(lean(_confirm(percent)), "a long, b long")
     same_id = full.select("doc_id", "d1", "d2", "n_shingles").join(nodes.select("d1", "d2", "n_shingles", "node"), ["d1", "d2", "n_shingles"])
     edges = settle(confirmed, "links")
     shared = settle(same_id.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b"), "same-id")
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     spread = spread.select("bucket", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "node", "label", "tile")
     loaded = spread.join(sets, spread["node"] == sets["id"]).select("bucket", "low", "high", "node", "label", "tile", "shingles")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    across = loaded.repartition(parts, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "tile").mapInArrow(_across(percent), "a long, b long")
+    across = loaded.repartition(parts, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "tile").mapInArrow(lean(_across(percent)), "a long, b long")
     second = components(across)
 
     merged = nodes.select("d1", "d2", "n_shingles", "node").join(first, "node", "left").select("d1", "d2", "n_shingles", label)

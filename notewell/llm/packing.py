@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from notewell.llm.tables import bounded_batches, keyed_texts, settle
+from notewell.llm.tables import bounded_batches, keyed_texts, lean, settle
 
 END_TOKEN = 2
 SEQUENCE_TOKENS = 1024
@@ -105,7 +105,7 @@ def pieces(docs: DataFrame, tokens: int = SEQUENCE_TOKENS, paths: tuple[str, str
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def best_fit(counts: dict[int, int], tokens: int) -> list[tuple[int, int, int, int, int]]:

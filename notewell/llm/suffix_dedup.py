@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from notewell.llm import words
 from notewell.llm.suffix_array import suffix_arrays
-from notewell.llm.tables import bounded_batches, bundled, keyed_texts, settle, unbundled
+from notewell.llm.tables import bounded_batches, bundled, keyed_texts, lean, settle, unbundled
 
 LENGTH = 400
 GROUP = 64  # different segments of one anchor whose suffixes are sorted together
@@ -99,7 +99,7 @@ def segments(docs: DataFrame, length: int, hashes_only: bool = False) -> DataFra
             ], ["anchor", "content", "doc_id", "key", "begin", "starts"])
 
     schema = "anchor long" if hashes_only else f"anchor long, content long, doc_id {kind}, key long, begin int, starts int"
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(lean(run), schema)
 
 
 def _compressed(docs: DataFrame) -> DataFrame:
@@ -311,24 +311,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     texts = _compressed(docs)
     joined = texts.join(by_doc, texts["doc_id"].eqNullSafe(by_doc["doc_id"]) & (texts["key"] == by_doc["key"])).select(texts["doc_id"], texts["key"], "frame", "parts")
     columns = f"anchor long, content long, n long, m long, begin int, starts int, doc_id {kind}, key long, segment binary"
-    cut = settle(joined.mapInArrow(_cut(length), columns), "cut")
+    cut = settle(joined.mapInArrow(lean(_cut(length)), columns), "cut")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spans = f"doc_id {kind}, key long, first long, last long"
 
     def by_suffixes(rows: DataFrame) -> DataFrame:
-        return rows.repartition(parts, "anchor").sortWithinPartitions("anchor", "content").mapInArrow(_sort_groups(length), spans)
+        return rows.repartition(parts, "anchor").sortWithinPartitions("anchor", "content").mapInArrow(lean(_sort_groups(length)), spans)
 
     few = by_suffixes(cut.where(F.col("m") <= group))
 
     blocks = f"anchor long, content long, copies long, begin int, starts int, doc_id {kind}, key long, segment binary"
-    blocks = settle(cut.where(F.col("m") > group).mapInArrow(_blocks(length), blocks), "blocks")
+    blocks = settle(cut.where(F.col("m") > group).mapInArrow(lean(_blocks(length)), blocks), "blocks")
     different = settle(blocks.groupBy("anchor", "content").agg(F.sum("copies").alias("n")), "different")
     whole_blocks = _span(blocks.where("copies = 1").join(different.where("n > 1").select("anchor", "content"), ["anchor", "content"]), length)
     open_blocks = blocks.join(_undecided(different), ["anchor", "content"]).dropDuplicates(["anchor", "content"])
     open_blocks = settle(open_blocks.select("anchor", "content", "n", "m", "begin", "starts", "doc_id", "key", "segment"), "open-blocks")
     few_blocks = by_suffixes(open_blocks.where(F.col("m") <= group))
 
-    single = open_blocks.where(F.col("m") > group).mapInArrow(_single_starts(length), f"h1 long, h2 long, n long, doc_id {kind}, key long, first long")
+    single = open_blocks.where(F.col("m") > group).mapInArrow(lean(_single_starts(length)), f"h1 long, h2 long, n long, doc_id {kind}, key long, first long")
     single = settle(single, "starts")
     twice = single.groupBy("h1", "h2").agg(F.sum("n").alias("times")).where("times > 1").select("h1", "h2")
     strings = single.where("n = 1").join(twice, ["h1", "h2"]).select("doc_id", "key", "first", (F.col("first") + length).alias("last"))
@@ -389,4 +389,4 @@ def clean(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     rows = marked(docs, length)
     schema = T.StructType([rows.schema["doc_id"], T.StructField("text", T.StringType()), rows.schema["rest"]])
-    return unbundled(rows.mapInArrow(run, schema), docs)
+    return unbundled(rows.mapInArrow(lean(run), schema), docs)
