@@ -259,7 +259,7 @@ def _labelled(labels: list[str], weights, change, column: pa.Array) -> tuple[np.
         _, _, rows, gram, a, b, first = features(data, at)
         p = marginals(emissions(weights, rows, gram, a, b), change, first)
         total = np.concatenate((np.zeros((1, len(labels))), np.cumsum(p, axis=0)))
-        mass = (total[first[1:]] - total[first[:-1]]) / np.maximum(1, np.diff(first))[:, None]
+        mass = np.round((total[first[1:]] - total[first[:-1]]) / np.maximum(1, np.diff(first))[:, None], 9)  # sums of a batch differ in the last digits
         best[lo:hi] = np.where(np.diff(first) > 0, mass.argmax(axis=1), -1)
         score[lo:hi] = np.clip(mass.max(axis=1), 0, 1)
     return best, np.where(best < 0, 0.0, score)
