@@ -173,7 +173,7 @@ SELECT query_id, item_id, match_score FROM (SELECT id AS query_id, item_id, roun
 @query("product_candidates", _candidates_sql(_NEEDS, _GOODS))
 def product_candidates(spark, sf):
     q, goods = _frames(spark, sf)
-    return match.match_products(q, goods, 3, 0.2).select("query_id", "item_id", "match_score")
+    return match.match_products(q, goods, 3, 0.2, pruned=False).select("query_id", "item_id", "match_score")
 
 
 @query("product_candidates_all", _candidates_sql(_ALL_NEEDS, _ALL_GOODS))
