@@ -172,3 +172,9 @@ def test_needed_words_never_lose_a_match():
                     hits += 1
                     assert words is None or any(w in note.lower() for w in words), (p, note)
     assert hits > 15
+
+
+def test_guard_reads_cards_and_addresses_that_touch_letters(one):
+    guard = one('token = "82ff5950335769855722a45e", éa@b.como2', privacy.guard_mask(X))
+    assert (guard.email, guard.credit_card, guard.risk_score) == (1, 1, 1.0)
+    assert one("41111111111111112", privacy.guard_mask(X)).credit_card == 0
