@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from notewell import session
 from notewell.operators import quality
 from notewell.plans import extract, route
@@ -115,3 +116,8 @@ def test_cleaning_report_counts(spark):
     assert row.fillers_removed == 2
     kept = quality.clean_dataset(df)
     assert sorted(r["id"] for r in kept.collect()) == [1, 4] and kept.columns == cleaned.columns
+
+
+def test_stream_queries_read_tables_of_several_files(spark, tmp_path):
+    spark.range(6).selectExpr("id AS doc_id", "'Client VIP, urgent.' AS text", "'fr' AS lang", "'s' AS source", "19L AS n_chars").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert tuple(queries()["stream_enrich"](spark, str(tmp_path)).first()) == (6, 6)

@@ -16,9 +16,14 @@ _K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 _STEP = "CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'routing' WHEN 'view' THEN 'cleaning' WHEN 'signup' THEN 'done' ELSE 'extraction' END"
 
 
+def _stored(spark, sf, name, schema):
+    """A stored table as a stream, be it one file or a folder of files; a plain path to a file is refused, a pattern is not."""
+    return streams.note_stream(spark, f"{sf}/{name}.parque[t]", schema)
+
+
 def _events(spark, sf):
     """Step events as a stream of the events table."""
-    return _steps(streams.note_stream(spark, sf, EVENTS, pattern="events.parquet"))
+    return _steps(_stored(spark, sf, "events", EVENTS))
 
 
 def _steps(e):
@@ -136,7 +141,7 @@ def stream_dedup(spark, sf):
 
 @query("stream_enrich", "SELECT count(*) AS notes, count(DISTINCT doc_id) AS ids FROM documents")
 def stream_enrich(spark, sf):
-    notes = streams.note_stream(spark, sf, DOCUMENTS, pattern="documents.parquet").withColumnRenamed("doc_id", "id")
+    notes = _stored(spark, sf, "documents", DOCUMENTS).withColumnRenamed("doc_id", "id")
     enriched = streams.enrich_stream(notes, "text", "lang", PACK).select("id", "tier", "tags", "complexity")
     out = streams.run_available(enriched, "enriched")
     return out.agg(F.count("*").alias("notes"), F.count_distinct("id").alias("ids"))
@@ -145,7 +150,7 @@ def stream_enrich(spark, sf):
 @query("stream_warehouse", """
 SELECT count_if(value <= 100) AS good, count_if(value > 100) AS bad, CAST(sum(CASE WHEN value <= 100 THEN length(props) ELSE 0 END) AS BIGINT) AS chars FROM events""")
 def stream_warehouse(spark, sf):
-    e = streams.note_stream(spark, sf, EVENTS, pattern="events.parquet").select(
+    e = _stored(spark, sf, "events", EVENTS).select(
         F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("props").alias("original_text"), "value"
     )
     warehouse, quarantine = shared_folder(spark, "stream-warehouse"), shared_folder(spark, "stream-quarantine")
