@@ -336,3 +336,13 @@ def test_reuse_as_of_each_notes_time(spark):
     for chunk in ("hour", "year", "minute"):
         got = {r["id"]: (r["result"], r["from_cache"]) for r in joins.reuse_as_of(notes, results, "note", ttl_seconds=86400, chunk=chunk).collect()}
         assert got == {1: (None, False), 2: (1, True), 3: (None, False), 4: (3, True), 5: (None, False), 6: (3, True), 7: (None, False), 8: (None, False), 9: (None, False), 10: (None, False)}
+
+
+def test_rules_read_equal_texts_once(spark):
+    from notewell.operators import dedup
+
+    df = spark.createDataFrame([(i, ["a", "b", None][i % 3]) for i in range(60)], "id int, text string").repartition(7)
+    seen = []
+    rows = dedup.per_text(df, lambda texts: seen.append(texts) or texts.withColumn("n", F.monotonically_increasing_id()).withColumn("size", F.length("text"))).collect()
+    assert seen[0].count() == 3 and sorted(r.id for r in rows) == list(range(60))
+    assert len({(r.text, r.n) for r in rows}) == 3 and {(r.text, r["size"]) for r in rows} == {("a", 1), ("b", 1), (None, None)}
