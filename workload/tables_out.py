@@ -76,9 +76,10 @@ def io_flatten_metrics(spark, sf):
 
 
 def _processed(spark, sf):
-    notes = extract.extract_note(t.order_texts(spark, sf), "text", PACK)
-    routed = route.route(notes)
-    return routed.select(
+    def read(texts):
+        return route.route(extract.extract_note(texts, "text", PACK)).select("text", "tier", "estimated_time_ms", "estimated_cost", "extraction")
+
+    return t.read_once(spark, sf, read, "o_custkey", "c_mktsegment").select(
         "id", F.make_timestamp(F.lit(2024), F.lit(1), (F.col("o_custkey") % 28 + 1), F.lit(0), F.lit(0), F.lit(0)).alias("timestamp"), F.col("c_mktsegment").alias("store_id"), F.lit("a").alias("advisor_id"),
         "tier", F.col("estimated_time_ms").alias("processing_time_ms"), F.col("estimated_cost").alias("cost_usd"), F.lit(10).alias("points_awarded"),
         F.col("text").alias("original_text"), F.col("text").alias("processed_text"), F.lit(False).alias("cache_hit"), F.lit(False).alias("contains_sensitive"), "extraction",
