@@ -303,36 +303,46 @@ def with_stock(matches: DataFrame, stock: DataFrame) -> DataFrame:
     ).drop("__stock")
 
 
-def _grams(text: Column, size: int) -> Column:
+def _grams(text: Column, size: Column) -> Column:
     n = F.length(text)
     return F.when(
         n >= size,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, F.lit(size)))),
+        F.array_distinct(F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, size))),
     ).otherwise(m.empty_strings())
 
 
+GRAM_SIZES = (6, 12, 24)
+
+
 def contains_join(needles: DataFrame, haystack: DataFrame, needle: str, hay: str, hay_id: str, size: int = 3) -> DataFrame:
     """For every distinct needle the smallest ``hay_id`` whose text contains it (case-insensitive).
 
     A substring join without a cross join. Every gram of a needle occurs in every text that
     contains it, so joining on a single gram loses nothing; each needle uses its rarest gram,
     which keeps frequent grams out of the join. Candidates are verified.
-    Needles shorter than ``size`` use their own length as gram size.
+    A needle's grams are of the largest of ``size`` and ``GRAM_SIZES`` that it has, so that the candidates of long needles
+    do not grow with the texts that share a few letters; needles shorter than ``size`` use their own length.
+    Both sides may be large, so they meet by sorting and neither is sent to every task.
     """
     n = needles.select(F.lower(needle).alias("__needle")).where(F.length("__needle") > 0).distinct()
     h = haystack.select(F.col(hay_id), F.lower(hay).alias("__hay"))
-    sizes = range(1, size + 1)
-    wanted = F.when(F.length("__needle") >= size, _grams(F.col("__needle"), size)).otherwise(F.array("__needle"))
-    needed = n.select("__needle", F.explode(wanted).alias("__gram"))
-    gram_rows = h.select(hay_id, F.explode(F.concat(*[_grams(F.col("__hay"), s) for s in sizes])).alias("__gram"))  # without the text
-    gram_rows = gram_rows.join(needed.select("__gram").distinct(), "__gram", "left_semi")
+    wanted_size = F.least(F.length("__needle"), F.lit(size))
+    for larger in sorted(s for s in GRAM_SIZES if s > size):
+        wanted_size = F.when(F.length("__needle") >= larger, F.lit(larger)).otherwise(wanted_size)
+    n = cut_lineage(n.withColumn("__size", wanted_size), "needles")
+    sizes = sorted(r["__size"] for r in n.select("__size").distinct().collect())  # a handful of lengths
+    if not sizes:
+        return h.select(F.lit(None).cast("string").alias(needle), hay_id).limit(0)
+    needed = n.select("__needle", F.explode(_grams(F.col("__needle"), F.col("__size"))).alias("__gram"))
+    gram_rows = h.select(hay_id, F.explode(F.concat(*[_grams(F.col("__hay"), F.lit(s)) for s in sizes])).alias("__gram"))  # without the text
+    gram_rows = gram_rows.join(needed.select("__gram").distinct().hint("merge"), "__gram", "left_semi")
     frequency = gram_rows.groupBy("__gram").agg(F.count("*").alias("__freq"))
-    rarest = needed.join(frequency, "__gram", "left").groupBy("__needle").agg(
+    rarest = needed.join(frequency.hint("merge"), "__gram", "left").groupBy("__needle").agg(
         F.min_by("__gram", F.struct(F.coalesce("__freq", F.lit(0)), F.col("__gram"))).alias("__gram")
     )
     return (
-        rarest.join(gram_rows, "__gram").select("__needle", hay_id)
-        .join(h, hay_id)
+        rarest.join(gram_rows.hint("merge"), "__gram").select("__needle", hay_id)
+        .join(h.hint("merge"), hay_id)
         .where(F.col("__hay").contains(F.col("__needle")))
         .groupBy("__needle")
         .agg(F.min(hay_id).alias(hay_id))

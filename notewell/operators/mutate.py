@@ -181,17 +181,18 @@ def upsert_clients(clients: DataFrame, notes: DataFrame) -> DataFrame:
     A note with a reference belongs to that external id; one with only a name belongs to the
     first client whose name contains it; the rest found new clients (one per reference or
     name), whose ids follow each other above the largest id in use, in the order of reference or name.
+    Clients and batch meet by sorting: a small file of clients may hold more rows than a driver can send out.
     The mean sentiment is updated incrementally; ``days_since_contact`` is the gap to the previous contact.
     """
     by_ref = notes.where(F.col("client_ref").isNotNull())
     by_name = notes.where(F.col("client_ref").isNull() & F.col("client_name").isNotNull())
     found = joins.contains_join(by_name, clients, "client_name", "name", "id")
     known = clients.select(F.col("external_client_id").alias("client_ref"), F.col("id"))
-    matched = by_ref.join(known, "client_ref", "left").select(
+    matched = by_ref.join(known.hint("merge"), "client_ref", "left").select(
         "id", F.concat(F.lit("ref:"), "client_ref").alias("__new"), "client_ref", "client_name", "sentiment", "behavior", "ts"
     ).unionByName(
         by_name.withColumn("__low", F.lower("client_name"))
-        .join(found.withColumnRenamed("client_name", "__low"), "__low", "left")
+        .join(found.withColumnRenamed("client_name", "__low").hint("merge"), "__low", "left")
         .select("id", F.concat(F.lit("name:"), "__low").alias("__new"), "client_ref", "client_name", "sentiment", "behavior", "ts")
     )
     key = F.coalesce(F.col("id").cast("string"), F.col("__new"))
@@ -209,7 +210,7 @@ def upsert_clients(clients: DataFrame, notes: DataFrame) -> DataFrame:
     largest = clients.select(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).scalar()
     ranked = paging.numbered(batch.where("__id IS NULL"), [F.col("__new")], "__nth")[0].drop("__range")
     founded = ranked.withColumn("id", largest + F.col("__nth")).withColumn("__founded", F.lit(True)).drop("__nth")
-    joined = clients.join(batch.withColumnRenamed("__id", "id").where("id IS NOT NULL"), "id", "left").unionByName(founded.drop("__id"), allowMissingColumns=True)
+    joined = clients.join(batch.withColumnRenamed("__id", "id").where("id IS NOT NULL").hint("merge"), "id", "left").unionByName(founded.drop("__id"), allowMissingColumns=True)
     n0 = F.coalesce("total_interactions", F.lit(0))
     mean0 = F.coalesce("sentiment_score", F.lit(0.0))
     touched = F.col("__n").isNotNull()

@@ -346,3 +346,12 @@ def test_rules_read_equal_texts_once(spark):
     rows = dedup.per_text(df, lambda texts: seen.append(texts) or texts.withColumn("n", F.monotonically_increasing_id()).withColumn("size", F.length("text"))).collect()
     assert seen[0].count() == 3 and sorted(r.id for r in rows) == list(range(60))
     assert len({(r.text, r.n) for r in rows}) == 3 and {(r.text, r["size"]) for r in rows} == {("a", 1), ("b", 1), (None, None)}
+
+
+def test_substring_join_meets_long_names_by_long_grams(spark):
+    names = spark.range(3000).selectExpr("id", "concat('Customer#', lpad(CAST(id AS STRING), 9, '0')) AS name")
+    needles = spark.createDataFrame([("customer#000001234",), ("0002999",), ("99",), ("Customer#999999999",), ("",), (None,)], "who string")
+    found = joins.contains_join(needles, names, "who", "name", "id")
+    assert {(r["who"], r["id"]) for r in found.collect()} == {("customer#000001234", 1234), ("0002999", 2999), ("99", 99)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
