@@ -147,6 +147,9 @@ def route(df: DataFrame, text: str = "text", thresholds: tuple[int, int] = fv.RO
 
 # --- learned router ---------------------------------------------------------------------
 
+EQUAL_ROWS = 64  # rows of the training set that stand for examples of equal features and label
+
+
 @dataclass
 class TrainedRouter:
     model: PipelineModel
@@ -175,18 +178,26 @@ def train_router(examples: DataFrame, text: str = "text", label: str = "label",
                  trees: int = 100, folds: int = 5, seed: int = 42) -> TrainedRouter | None:
     """Balanced forest over the complexity features; None when there are too few examples.
 
-    The features are written once to the shared folder, because every fold reads them.
+    ``examples`` may count equal examples in a column ``rows``. Equal texts are read once, and examples
+    of equal features and label are ``EQUAL_ROWS`` rows at most that share the weight of all of them; up to
+    that number each example is a row of its own. The rows are written once to the shared folder, because every fold reads them.
     """
     from notewell.session import cut_lineage
 
-    data = complexity(examples, text).select(*[F.col(c).cast("double") for c in FEATURES], F.col(label).cast("double").alias("label"))
-    data = cut_lineage(data, "router-features")
-    counts = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count("*").alias("n")).where("label IN (1, 2, 3)").collect()}
+    number = F.sum("rows") if "rows" in examples.columns else F.count(F.lit(1))
+    cores = examples.sparkSession.sparkContext.defaultParallelism
+    texts = examples.groupBy(text, label).agg(number.alias("rows")).repartition(4 * cores)
+    data = complexity(texts, text).select(*[F.col(c).cast("double") for c in FEATURES], F.col(label).cast("double").alias("label"), "rows")
+    equal = data.groupBy(*FEATURES, "label").agg(F.sum("rows").alias("rows"))
+    shared = F.least(F.col("rows"), F.lit(EQUAL_ROWS))
+    data = equal.select(*FEATURES, "label", (F.col("rows") / shared).alias("rows"), F.explode(F.sequence(F.lit(1), shared.cast("int"))).alias("__nth"))
+    data = cut_lineage(data.drop("__nth"), "router-features")
+    counts = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.sum("rows").alias("n")).where("label IN (1, 2, 3)").collect()}
     total = sum(counts.values())
-    if total < min_rows:
+    if round(total) < min_rows:
         return None
     weights = {k: total / (len(counts) * n) for k, n in counts.items()}
-    weighted = data.where(F.col("label").isin(*counts)).withColumn("weight", _by_tier(F.col("label"), weights))
+    weighted = data.where(F.col("label").isin(*counts)).withColumn("weight", _by_tier(F.col("label"), weights) * F.col("rows"))
     pipeline = Pipeline(
         stages=[
             VectorAssembler(inputCols=list(FEATURES), outputCol="raw"),
@@ -200,7 +211,7 @@ def train_router(examples: DataFrame, text: str = "text", label: str = "label",
     fitted = CrossValidator(
         estimator=pipeline,
         estimatorParamMaps=ParamGridBuilder().build(),
-        evaluator=MulticlassClassificationEvaluator(labelCol="label", predictionCol="model_tier", metricName="accuracy"),
+        evaluator=MulticlassClassificationEvaluator(labelCol="label", predictionCol="model_tier", metricName="accuracy", weightCol="rows"),
         numFolds=folds,
         seed=seed,
     ).fit(weighted)
