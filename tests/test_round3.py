@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from notewell.functions import privacy
 from notewell.plans import route
 
 
@@ -22,3 +23,9 @@ def test_equal_examples_share_rows_of_the_router(spark, monkeypatch):
         assert got == {1.0: (route.EQUAL_ROWS, 2000.0), 2.0: (40, 40.0), 3.0: (1, 1.0)}
     out = route.route_ml(plain.distinct(), router).select("text", "tier").collect()
     assert {r["text"]: r["tier"] for r in out}["elle a un cancer"] == 3
+
+
+def test_sensitive_categories_lower_a_text_once(spark):
+    df = spark.createDataFrame([("Un AVOCAT au temple",), (None,), ("rien",)], "text string").select(privacy.sensitive_categories(F.col("text")).alias("c"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert [r["c"] for r in df.collect()] == [["family_conflict", "religion"], [], []]
