@@ -4,7 +4,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from notewell.functions import privacy
+from notewell import fixed_values as fv
+from notewell.functions import privacy, similarity, text
 from notewell.operators import vectors
 from notewell.plans import route
 
@@ -60,3 +61,28 @@ def test_copies_of_a_search_do_not_follow_the_block_size(spark):
     assert found.count() == 2000
     groups = vectors.block_counts(df.withColumn("__key", F.lit("")), df.withColumn("__key", F.lit("")), 4).first()
     assert (groups["__nq"], groups["__ni"]) == (vectors.SPLIT, vectors.SPLIT)
+
+
+ODD = ["", "a", " x\u00a0y  z\t", "Mme Durand, 06 12 34 56 78", "ID X1234567A", "١٢٣-٤٥-٦٧٨٩ code 1234", "euh bon euh", "Euh, tu sais, c'est bon  .", "a@b.fr et Dr House",
+       "budget 5000€ le 12/03/2024 Capucine 25", "un peu flexible et plutôt bien, un peu", "livraison à 12 rue X", "\u3000 aaa !!! bbb\u2003", "hummm euhh Bahh", "Prof. Étienne-Marie Dupont"]
+
+
+def test_cleaning_steps_that_skip_equal_the_whole_patterns(spark):
+    """Steps that look first, or read a text once, give what the patterns give one after the other."""
+    df = spark.createDataFrame([(t, c) for t in ODD for c in ("FR", "EN", "XX")], "t string, lang string")
+    t, lang = F.col("t"), F.col("lang")
+    plain = contacts = t
+    for _, mask, regex in privacy.mask_rules():
+        plain = F.regexp_replace(plain, regex, mask)
+    for regex, mask in ((fv.EMAIL, "[EMAIL]"), (fv.PHONE_CONTACT, "[PHONE]"), (fv.CIVILITY_NAME, "$1 [NAME]")):
+        contacts = F.regexp_replace(contacts, "(?U)" + regex, mask)
+    cut = text.fillers_cut(t, lang)
+    got = df.select(
+        privacy.mask_pii(t).eqNullSafe(plain).alias("masks"), privacy.masked_and_counted(t)["t"].eqNullSafe(plain).alias("counted"),
+        privacy.mask_contacts(t).eqNullSafe(contacts).alias("contacts"), cut["t"].eqNullSafe(text.strip_fillers(t, lang)).alias("fillers"),
+        cut["n"].eqNullSafe(text.count_fillers(t, lang)).alias("number"),
+        F.regexp_replace(t, text._SPACES, " ").eqNullSafe(F.regexp_replace(t, r"(?U)\s+", " ")).alias("spaces"),
+    ).collect()
+    assert all(all(r) for r in got) and len(got) == 3 * len(ODD)
+    for odd in [*ODD, "M. Un est la. Mr. Deux est la!! M. Un est la. \x1c Il dort bien."]:
+        assert similarity.drop_repeated_sentences(odd) == similarity.drop_repeated_sentences(odd, split=fv.SENTENCE_SPLIT)
