@@ -8,6 +8,7 @@ the driver; checkpoints live in the shared folder of the session.
 from __future__ import annotations
 
 import json
+import pickle
 import sys
 from collections.abc import Callable, Sequence
 
@@ -187,47 +188,68 @@ def dedup_stream(notes: DataFrame, ttl: str = "24 hours", text_col: str = "text"
     return keyed.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(["text_key"])
 
 
-_STATE = "count long, total double, first long, last long"
+STATE_BUCKETS = 256  # groups of clients that share one state
+_HELD = ["client_id", "count", "total", "first", "last", "due"]
 
 
 def client_state_stream(notes: DataFrame, client: str = "client_id", score: str = "sentiment_score", ts: str = "ts",
-                        ttl_ms: int = 30 * 86_400_000, delay: str = "1 day") -> DataFrame:
+                        ttl_ms: int = 30 * 86_400_000, delay: str = "1 day", buckets: int = STATE_BUCKETS) -> DataFrame:
     """Running sentiment, interaction count, first and last contact per client, with a time to live (update mode).
 
     Every contact restarts the client's timer. A client without contact for ``ttl_ms`` of event time
     loses its state: the timer emits a last row with ``idle``, and a later contact begins anew, also
     where the timer has not fired yet. Contacts behind the watermark are late and left out.
+
+    Clients are dealt over ``buckets`` groups; a group's state holds its clients as columns, and its timer is the earliest of theirs.
     """
     kind = notes.schema[client].dataType.simpleString()
-    rows = notes.select(F.col(client).alias("client_id"), F.col(score).cast("double").alias("score"), F.col(ts).alias("ts"), F.unix_millis(ts).alias("ms"))
+    bucket = F.pmod(F.xxhash64(client), F.lit(buckets)).cast("int").alias("bucket")
+    rows = notes.select(bucket, F.col(client).alias("client_id"), F.col(score).cast("double").alias("score"), F.col(ts).alias("ts"), F.unix_millis(ts).alias("ms"))
     out = f"client_id {kind}, sentiment_score double, total_interactions long, first_contact long, last_contact long, idle boolean"
 
-    def row(key, held: tuple, idle: bool) -> pd.DataFrame:
-        count, total, first, last = held
-        values = {"client_id": [key[0]], "sentiment_score": [total / count], "total_interactions": [count], "first_contact": [first], "last_contact": [last], "idle": [idle]}
-        return pd.DataFrame(values)
+    def contacts(frames, held: pd.DataFrame, watermark: int) -> pd.DataFrame:
+        """The state of the clients that these contacts belong to."""
+        new = pd.concat([f[["client_id", "ms", "score"]] for f in frames])
+        code, clients = pd.factorize(new["client_id"])
+        order = np.lexsort((new["ms"].to_numpy(), code))
+        code, ms, scores = code[order], new["ms"].to_numpy()[order], np.nan_to_num(new["score"].to_numpy(np.float64)[order], posinf=np.inf, neginf=-np.inf)
+        start = np.searchsorted(code, np.arange(len(clients)))
+        last = ms[np.append(start[1:], len(code)) - 1]
+        begin = start.copy()
+        gap = np.flatnonzero((np.diff(ms) > ttl_ms) & (np.diff(code) == 0)) + 1
+        np.maximum.at(begin, code[gap], gap)  # the contacts since the last gap
+        counted = np.arange(len(code)) >= begin[code]
+        now = pd.DataFrame({"client_id": clients, "count": np.bincount(code, counted, len(clients)).astype(np.int64), "total": np.bincount(code, np.where(counted, scores, 0.0), len(clients)), "first": ms[begin], "last": last})
+        at = pd.Index(held["client_id"]).get_indexer(clients) if len(held) else np.full(len(clients), -1)
+        go_on = at >= 0
+        go_on[go_on] = (begin == start)[go_on] & (ms[start][go_on] - held["last"].to_numpy()[at[go_on]] <= ttl_ms)
+        old, which = held.iloc[at[go_on]], np.flatnonzero(go_on)
+        for name, merge in (("count", np.add), ("total", np.add), ("first", np.minimum), ("last", np.maximum)):
+            values = now[name].to_numpy().copy()
+            values[which] = merge(old[name].to_numpy(), values[which])
+            now[name] = values
+        now["due"] = np.maximum(now["last"].to_numpy() + ttl_ms, watermark + 1)
+        return now
 
     def update(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            held = state.get
+        watermark = state.getCurrentWatermarkMs()
+        held = pickle.loads(state.get[0]) if state.exists else pd.DataFrame({n: [] for n in _HELD})
+        now = held.iloc[:0] if state.hasTimedOut else contacts(frames, held, watermark)
+        rest = held[~held["client_id"].isin(now["client_id"])]
+        over = rest["due"].to_numpy() < watermark
+        left = [part for part in (now, rest[~over]) if len(part)]
+        if left:
+            kept = pd.concat(left, ignore_index=True)[_HELD]
+            state.update((pickle.dumps(kept),))
+            state.setTimeoutTimestamp(int(kept["due"].min()))
+        else:
             state.remove()
-            yield row(key, held, True)
-            return
-        parts = [(f["ms"].to_numpy(), f["score"].to_numpy()) for f in frames]  # 16 bytes a contact of one batch
-        ms, scores = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-        order = np.argsort(ms, kind="stable")
-        ms, scores = ms[order], scores[order]
-        held = state.get if state.exists else None
-        begin = np.flatnonzero(np.diff(ms) > ttl_ms)
-        begin = int(begin[-1]) + 1 if len(begin) else 0  # the contacts since the last gap
-        if held is not None and (begin or ms[0] - held[3] > ttl_ms):
-            held = None
-        ms, scores = ms[begin:], scores[begin:]
-        count, total, first, last = held or (0, 0.0, int(ms[0]), int(ms[-1]))
-        held = (count + len(ms), total + float(np.nansum(scores)), min(first, int(ms[0])), max(last, int(ms[-1])))
-        state.update(held)
-        state.setTimeoutTimestamp(max(held[3] + ttl_ms, state.getCurrentWatermarkMs() + 1))
-        yield row(key, held, False)
+        for part, idle in ((now, False), (rest[over], True)):
+            if len(part):
+                yield pd.DataFrame({
+                    "client_id": part["client_id"].to_numpy(), "sentiment_score": part["total"].to_numpy() / part["count"].to_numpy(), "total_interactions": part["count"].to_numpy(),
+                    "first_contact": part["first"].to_numpy(), "last_contact": part["last"].to_numpy(), "idle": idle,
+                })
 
     watched = rows.where("client_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", delay)
-    return watched.groupBy("client_id").applyInPandasWithState(update, out, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return watched.groupBy("bucket").applyInPandasWithState(update, out, "clients binary", "update", GroupStateTimeout.EventTimeTimeout)
