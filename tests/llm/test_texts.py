@@ -11,11 +11,12 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from notewell.llm import decontamination, near_dedup, packing, sharding, suffix_dedup, words
 from notewell.llm.suffix_array import suffix_arrays
-from notewell.llm.tables import BATCH_BYTES, bounded_batches, in_bytes
+from notewell.llm.tables import BATCH_BYTES, bounded_batches, in_bytes, spread_join
 from tests.llm.conftest import got, odd_rows, sentence
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -80,6 +81,37 @@ def test_suffix_dedup_of_one_passage_in_many_texts(spark, group):
     assert [int(g.sum()) for g in gone.values()] == [e[1] for e in expected]
 
 
+def test_suffix_dedup_deals_a_frequent_anchor_to_many_tasks(spark):
+    rng = random.Random(11)
+    passage = sentence(rng, 60)
+    texts = [sentence(rng, 12) + passage + sentence(rng, 12) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        met = suffix_dedup.repeated_anchors(docs, 60).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    anchors = Counter(r["anchor"] for r in met)
+    once = Counter(r["anchor"] for r in suffix_dedup.segments(docs, 60).collect())
+    assert anchors == {a: n for a, n in once.items() if n > 1}
+    assert len({(r["doc_id"], r["anchor"], r["begin"]) for r in met}) == len(met)
+    for anchor, n in anchors.most_common(3):
+        assert n >= 500 and max(Counter(r["task"] for r in met if r["anchor"] == anchor).values()) < n / 4
+
+
+def test_spread_join_equals_a_join(spark):
+    rows = spark.range(9000).selectExpr("IF(id % 3 = 0, id * id % 7, 0) AS a", "1 AS b", "id").union(spark.range(5).selectExpr("id AS a", "2 AS b", "-id AS id"))
+    values = rows.where("a <> 2").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
+    got_rows = sorted(map(tuple, spread_join(rows, values, ["a", "b"], "times").select("a", "b", "id", "times").collect()))
+    assert got_rows == sorted(map(tuple, rows.join(values, ["a", "b"]).select("a", "b", "id", "times").collect()))
+    nothing = spread_join(rows, values.where("times < 0"), ["a", "b"], "times")
+    assert nothing.columns == ["a", "b", "id", "times"] and nothing.collect() == []
+
+
 def test_suffix_dedup_keeps_other_columns(odd):
     out = suffix_dedup.clean(odd)
     assert out.columns == odd.columns
