@@ -18,7 +18,8 @@ learned from; repeated rows are labelled each; other columns are ignored.
 
 Shares of known labels sum to 1 for any text, also for one in a language that was never learned.
 ``keep`` therefore asks for evidence: the share of a text's trigrams, word by word, that the learned
-texts hold (a set of 2**24 bits, exact).
+texts of the word's language hold (sets of 2**24 bits, exact), expected over the word's label probabilities.
+Letters that touch a digit are parts of keys and codes and say nothing of a language, unless a text has no others.
 """
 
 from __future__ import annotations
@@ -177,15 +178,18 @@ def train(labels: list[str]):
                 text_range += [(n + first[k], n + first[k + 1]) for k in full]
                 n, at_gram = n + len(rows), at_gram + len(gram)
         size = len(labels)
-        seen_grams = np.zeros(1 << 24, bool)
+        known = [np.zeros(0, np.uint32)] * size  # the trigrams of each label's texts
         weights, change = np.zeros((1 << BITS, size), np.float32), np.zeros((size, size))
         if text_range and size:
             rows, gram, a, b = np.concatenate(rows_of), np.concatenate(grams), np.concatenate(a_of), np.concatenate(b_of)
-            seen_grams[gram[words.runs(b - a) + np.repeat(a, b - a)]] = True
-            gram = gram_rows(gram)
-            del rows_of, grams, a_of, b_of
             text_label = np.array(text_label, int)
             of = [np.flatnonzero(text_label == k) for k in range(size)]
+            word_label = np.repeat(text_label, [hi - lo for lo, hi in text_range])
+            for k in range(size):
+                lo, hi = a[word_label == k], b[word_label == k]
+                known[k] = np.unique(gram[words.runs(hi - lo) + np.repeat(lo, hi - lo)])
+            gram = gram_rows(gram)
+            del rows_of, grams, a_of, b_of
             seen = [k for k in range(size) if len(of[k])]
             square, square_change = np.full(weights.shape, 1e-6, np.float32), np.full(change.shape, 1e-6)
             draw = np.random.default_rng(7)
@@ -217,7 +221,7 @@ def train(labels: list[str]):
                 pairs = pairs / BATCH + 1e-4 * change
                 square_change += pairs * pairs
                 change -= RATE * pairs / np.sqrt(square_change)
-        return pickle.dumps({"labels": labels, "weights": weights.tobytes(), "change": change, "grams": np.packbits(seen_grams).tobytes()})
+        return pickle.dumps({"labels": labels, "weights": weights.tobytes(), "change": change, "grams": known})
 
     return run
 
@@ -230,9 +234,35 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> bytes:
     return labelled.fit(labelled.sample(docs, known.select("doc_id", number.alias("label")), limit, len(names)), train(names))
 
 
+def _flags(grams: list[np.ndarray]) -> np.ndarray:
+    seen = np.zeros(1 << 24, bool)
+    for some in grams:
+        seen[some] = True
+    return np.packbits(seen)
+
+
 def known_grams(model: bytes) -> np.ndarray:
     """Flags of all trigrams, eight in a byte, set for those of the learned texts."""
-    return np.frombuffer(pickle.loads(model)["grams"], np.uint8)
+    return _flags(pickle.loads(model)["grams"])
+
+
+def known_grams_of_labels(model: bytes) -> list[np.ndarray]:
+    """As ``known_grams``, for the learned texts of each label."""
+    return [_flags([some]) for some in pickle.loads(model)["grams"]]
+
+
+def _known_share(grams: np.ndarray, gram: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The share of known trigrams of each word."""
+    known = grams[gram >> np.uint32(3)] >> (7 - (gram & np.uint32(7))).astype(np.uint8) & 1
+    seen = np.concatenate(([0], np.cumsum(known, dtype=np.int32)))
+    return (seen[b] - seen[a]) / (b - a)
+
+
+def _mean(of_words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The mean over the words of each text; 0 without words."""
+    total = np.concatenate((np.zeros((1, *of_words.shape[1:])), np.cumsum(of_words, axis=0)))
+    size = np.maximum(1, np.diff(first)).reshape(-1, *[1] * (of_words.ndim - 1))
+    return (total[first[1:]] - total[first[:-1]]) / size
 
 
 def evidence(grams: np.ndarray, column: pa.Array) -> np.ndarray:
@@ -240,10 +270,7 @@ def evidence(grams: np.ndarray, column: pa.Array) -> np.ndarray:
     out = np.zeros(len(column))
     for lo, hi, data, at in words.chunks(column):
         _, _, _, gram, a, b, first = features(data, at)
-        known = grams[gram >> np.uint32(3)] >> (7 - (gram & np.uint32(7))).astype(np.uint8) & 1
-        seen = np.concatenate(([0], np.cumsum(known, dtype=np.int32)))
-        share = np.concatenate(([0.0], np.cumsum((seen[b] - seen[a]) / (b - a))))
-        out[lo:hi] = (share[first[1:]] - share[first[:-1]]) / np.maximum(1, np.diff(first))
+        out[lo:hi] = _mean(_known_share(grams, gram, a, b), first)
     return out
 
 
@@ -257,14 +284,34 @@ def _labelled(labels: list[str], weights, change, column: pa.Array) -> tuple[np.
     best, score = np.full(len(column), -1), np.zeros(len(column))
     for lo, hi, data, at in words.chunks(column) if labels else ():
         _, _, rows, gram, a, b, first = features(data, at)
-        p = marginals(emissions(weights, rows, gram, a, b), change, first)
-        total = np.concatenate((np.zeros((1, len(labels))), np.cumsum(p, axis=0)))
-        mass = np.round((total[first[1:]] - total[first[:-1]]) / np.maximum(1, np.diff(first))[:, None], 9)  # sums of a batch differ in the last digits
+        mass = np.round(_mean(marginals(emissions(weights, rows, gram, a, b), change, first), first), 9)  # sums of a batch differ in the last digits
         best[lo:hi] = np.where(np.diff(first) > 0, mass.argmax(axis=1), -1)
         score[lo:hi] = np.clip(mass.max(axis=1), 0, 1)
     return best, np.where(best < 0, 0.0, score)
 
 
+def _touch_digits(data: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which words (byte ranges in their texts) have a digit right before or behind them."""
+    digit = np.append((data >= 0x30) & (data <= 0x39), False)
+    return (digit[starts - 1] & (starts > at[text])) | (digit[ends] & (ends < at[text + 1]))
+
+
+def labelled_evidence(labels: list[str], weights, change, grams: list[np.ndarray], column: pa.Array) -> np.ndarray:
+    """As ``evidence``, over the words that touch no digit (all, if there are no others), each word's trigrams judged by the texts of each label (``grams``) in the proportion of the word's label probabilities."""
+    out = np.zeros(len(column))
+    for lo, hi, data, at in words.chunks(column) if labels else ():
+        starts, ends, rows, gram, a, b, first = features(data, at)
+        p = marginals(emissions(weights, rows, gram, a, b), change, first)
+        of_words = sum(p[:, k] * _known_share(known, gram, a, b) for k, known in enumerate(grams))
+        text = np.repeat(np.arange(hi - lo), np.diff(first))
+        counts = ~_touch_digits(data, at, starts, ends, text)
+        size = np.bincount(text, counts, hi - lo)
+        counts |= size[text] == 0
+        total = np.bincount(text, of_words * counts, hi - lo)
+        out[lo:hi] = np.round(total / np.maximum(1, np.bincount(text, counts, hi - lo)), 9)  # sums of a batch differ in the last digits
+    return out
+
+
 def _with_letters(docs: DataFrame) -> DataFrame:
     """``docs`` and, last, whether the text has a letter."""
     bounded_batches(docs.sparkSession)
@@ -287,14 +334,14 @@ def predict(docs: DataFrame, model: bytes) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: bytes, least: float) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that have a language and, of their trigrams, at least the share ``least`` in common with the learned texts."""
+    """The rows of ``docs``, with all their columns, that have a language and, of their trigrams, at least the share ``least`` in common with the learned texts of the languages of their words."""
     text = docs.columns.index("text")
 
     def run(batches):
-        known, grams = unpack(model), known_grams(model)
+        known, grams = unpack(model), known_grams_of_labels(model)
         for batch in batches:
-            best, _ = _labelled(*known, batch.column(text))
-            good = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False) & (best >= 0) & (evidence(grams, batch.column(text)) >= least)
+            good = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False) & (len(known[0]) > 0)
+            good = good & (labelled_evidence(*known, grams, batch.column(text)) >= least)
             yield batch.filter(pa.array(good)).select(list(range(batch.num_columns - 1)))
 
     return _with_letters(docs).mapInArrow(lean(run), docs.schema)
