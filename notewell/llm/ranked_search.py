@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from notewell.llm import words
-from notewell.llm.tables import bounded_batches, keyed_texts, settle
+from notewell.llm.tables import bounded_batches, keyed_texts, settle, settle_wide
 
 BEST = 20
 BLOCK_BYTES = 1 << 20  # text of the items that are searched in one pass
@@ -262,7 +262,7 @@ def search(docs: DataFrame, benchmark: DataFrame, best: int = BEST, block_bytes:
     bounded_batches(spark)
     kind, name = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     items = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct().withColumn("key", F.xxhash64("item_id", "text"))
-    shards = settle(postings(docs), "postings")
+    shards = settle_wide(postings(docs), "postings")
     totals = shards.agg(F.sum("n_docs"), F.sum("n_terms")).first()
     mean = totals[0] or 0, totals[1] or 0
     counts = settle(document_counts(shards), "terms")
@@ -274,7 +274,7 @@ def search(docs: DataFrame, benchmark: DataFrame, best: int = BEST, block_bytes:
         terms = spark.createDataFrame(pa.table({"term": wanted.vocabulary}))
         wanted.weigh({r["term"]: r["df"] for r in counts.join(F.broadcast(terms), "term").collect()})  # a block's terms
         columns = f"doc_ids array<{kind}>, terms array<long>, at array<int>, place array<int>, impact array<int>, pair array<int>, joint array<long>, pair_at array<int>, pair_place array<int>"
-        index = settle(shards.mapInArrow(_complete(wanted, mean), columns), "index")
+        index = settle_wide(shards.mapInArrow(_complete(wanted, mean), columns), "index")
         run, schema = _search(wanted, best, kind, name)
         here = index.mapInArrow(run, schema)
         here = settle(here, "found") if blocks > 1 else here
