@@ -12,8 +12,9 @@ The range join of a block sorts the vectors by the block's first coordinate into
 equal size; two tiles meet if their ranges are no further apart than the block's radius.
 Tiles are cut by rank, so groups of near-equal vectors, however large, spread over tiles;
 vectors that are exactly equal are joined once and counted with their number. A task holds
-two tiles and gives, per vector, the number of its links and one edge to the component that
-it has among them.
+a run of neighbouring tiles (a ``BANDS``-th of all, ``WIDE`` tiles at most) and reads the later tiles that
+meet one of them in pieces of a tile, so that a vector is copied about ``BANDS`` / 2 times and not once for every
+tile. It gives, per vector and piece, the number of its links and one edge to the component that it has there.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows
 with a null id, link with nothing; vectors of different lengths link only within their
@@ -33,7 +34,8 @@ from notewell.llm.tables import bounded_batches, settle
 COSINE = 0.95
 BLOCKS = 4
 TILE_ROWS = 8192
-STRIP = 256  # rows of a tile that are compared at once
+BANDS, WIDE = 16, 8  # runs of tiles that a block is cut into, and the most tiles of a run
+STRIP = 256  # rows of a run that are compared with a tile at once
 SLACK = 1e-5  # on a block's squared distance, so that a pair within the budget is near in some block
 
 
@@ -110,10 +112,10 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def _join(blocks: int, cosine: float):
-    """Per (block, tile, tile) group of rows that arrive sorted by it: (rep, links, rep of its component)."""
+    """Per (block, run) group of rows that arrive sorted by it, the run's own rows first: (rep, links, rep of its component), for the run and for each piece of later rows."""
     budget = 2 - 2 * cosine
 
-    def solve(block: int, rep: np.ndarray, copies: np.ndarray, tile: np.ndarray, x: np.ndarray, turned: np.ndarray):
+    def solve(block: int, rep: np.ndarray, copies: np.ndarray, later: np.ndarray, x: np.ndarray, turned: np.ndarray):
         norm = np.sqrt((x * x).sum(axis=1))
         y = turned.astype(np.float32)
         edges = block_edges(x.shape[1], blocks)
@@ -126,14 +128,14 @@ def _join(blocks: int, cosine: float):
             square = (part * part).sum(axis=1, keepdims=True)
             forth.append(np.hstack((-2 * part, square, one)))
             back.append(np.hstack((part, one, square)))
-        left = np.flatnonzero(tile == tile[0])
-        right = np.flatnonzero(tile != tile[0])
+        left, right = np.flatnonzero(later == 0), np.flatnonzero(later)
         alone = not len(right)
         right = left if alone else right
         links, label = np.zeros(len(x), np.int64), np.arange(len(x))
         over = [np.ascontiguousarray(b[right].T) for b in back]
-        for at in range(0, len(left), STRIP):
-            i = left[at : at + STRIP]
+        strip = max(8, STRIP * TILE_ROWS // max(len(right), TILE_ROWS))
+        for at in range(0, len(left), strip):
+            i = left[at : at + strip]
             found = forth[block][i] @ over[block] <= near[block] + error[block]
             if alone:
                 found &= np.arange(len(right))[None, :] > np.arange(at, at + len(i))[:, None]
@@ -158,14 +160,21 @@ def _join(blocks: int, cosine: float):
         return rep[hit], links[hit], rep[label[hit]]
 
     def run(batches):
-        key, held = None, []
+        key, own, held, size = None, None, [], 0
 
         def out(found):
             columns = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "links", "with"])
 
         def close():
-            return solve(key[0], *(np.concatenate([h[k] for h in held]) for k in range(5)))
+            """The rows held: those of the run among themselves, later ones against the run."""
+            nonlocal own, held, size
+            rows = [np.concatenate([h[k] for h in held]) for k in range(5)]
+            held, size = [], 0
+            if rows[2][0]:
+                return solve(key[0], *(np.concatenate((mine, more)) for mine, more in zip(own, rows, strict=True)))
+            own = rows
+            return solve(key[0], *rows)
 
         for batch in batches:
             found = []
@@ -175,9 +184,12 @@ def _join(blocks: int, cosine: float):
                 if tuple(keys[lo]) != key:
                     if held:
                         found.append(close())
-                    key, held = tuple(keys[lo]), []
-                values = (batch.column(k).slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, key[1]) for k in (7, 8))
-                held.append((*(batch.column(k).to_numpy()[lo:hi] for k in (4, 5, 6)), *values))
+                    key = tuple(keys[lo])
+                elif key[3] and size >= TILE_ROWS:
+                    found.append(close())
+                values = (batch.column(k).slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, key[1]) for k in (6, 7))
+                held.append((*(batch.column(k).to_numpy()[lo:hi] for k in (4, 5)), keys[lo:hi, 3], *values))
+                size += hi - lo
             yield out(found)
         if held:
             yield out([close()])
@@ -204,12 +216,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, blocks: int = BL
     other = ranges.select("size", "block", F.col("tile").alias("with"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     radius = F.sqrt((2 - 2 * cosine) * F.ceil(F.col("size") / blocks) / F.col("size") + SLACK) + 1e-3
     meet = ranges.join(other, ["size", "block"]).where((F.col("lo2") <= F.col("hi") + radius) & (F.col("lo") <= F.col("hi2") + radius)).select("size", "block", "tile", "with")
-    keyed = placed.join(F.broadcast(meet), ["size", "block", "tile"])
-    keyed = keyed.select("size", "block", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "rep")
-    loaded = keyed.join(points.select("rep", "copies", "vector", "turned"), "rep").select("block", "size", "low", "high", "rep", "copies", "tile", "vector", "turned")
-    order = ["block", "size", "low", "high"]
+    wide = min(WIDE, -(-most // BANDS))
+    run, run_of_other = (F.floor(F.col(c) / wide).cast("int") for c in ("tile", "with"))
+    own = ranges.select("size", "block", "tile", run.alias("run"), F.lit(0).alias("later"))
+    later = meet.where(run < run_of_other).select("size", "block", F.col("with").alias("tile"), run.alias("run"), F.lit(1).alias("later")).distinct()
+    keyed = placed.join(F.broadcast(own.unionByName(later)), ["size", "block", "tile"]).select("size", "block", "run", "later", "rep")
+    loaded = keyed.join(points.select("rep", "copies", "vector", "turned"), "rep").select("block", "size", "run", "later", "rep", "copies", "vector", "turned")
+    order = ["block", "size", "run"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = settle(loaded.repartition(parts, *order).sortWithinPartitions(*order, "tile", "rep").mapInArrow(_join(blocks, cosine), "rep long, links long, with long"), "links")
+    found = settle(loaded.repartition(parts, *order).sortWithinPartitions(*order, "later", "rep").mapInArrow(_join(blocks, cosine), "rep long, links long, with long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     first = components(found.select(F.col("rep").alias("a"), F.col("with").alias("b")))
 
